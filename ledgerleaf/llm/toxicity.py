@@ -27,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ LEAST_GAIN = 11.0  # log-likelihood ratio of a lexicon entry
 LEAST_ODDS = 1.1  # natural logarithm of how many times likelier an entry is in toxic documents
 LONGEST_START = 8
 ENTRIES = 20_000
-NEAR_ENTRIES = 400
+NEAR_ENTRIES = 200
 KNOWN_WORDS = 1 << 18
+KNOWN_STATES = 1 << 15
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = frozenset("\"“”„«»‹›‘’")
 #: Weights before data of: constant, abuse (summed), abuse (strongest), hits, near, quoted, density.
@@ -70,39 +72,83 @@ def gain(a: int, b: int, n_a: int, n_b: int) -> float:
     return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
 
 
-def build_trie(words: list[str]) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for c in w:
-            node = node.setdefault(c, {})
-        node[""] = w
-    return root
-
-
 def edits(word: str) -> int:
-    """How many edits a word may be away from an entry."""
+    """How many edits may lie between a word and an entry, by the length of either."""
     return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
 
-def near_entry(trie: dict, word: str) -> str | None:
-    """An entry within the allowed distance of ``word``, by walking the trie with the states of its Levenshtein automaton."""
-    most = edits(word)
-    if not most or not trie:
-        return None
-    stack = [(trie, tuple(range(len(word) + 1)))]
-    while stack:
-        node, row = stack.pop()
-        if "" in node and row[-1] <= min(most, edits(node[""])):
-            return node[""]
-        for c, child in node.items():
-            if c:
-                state = [row[0] + 1]
-                for i, x in enumerate(word, 1):
-                    state.append(min(state[-1] + 1, row[i] + 1, row[i - 1] + (x != c)))
-                if min(state) <= most:
-                    stack.append((child, tuple(state)))
-    return None
+class NearWords:
+    """A trie of entries, walked by the Levenshtein automata of their words.
+
+    A state holds the trie nodes that the letters read so far can have led to, each with the fewest edits spent;
+    nodes on which more was spent than any entry below allows are left out. States and their steps are
+    built when first needed and kept, so that reading a word is one step for each letter until it fails.
+    """
+
+    def __init__(self, words: list[str]):
+        self.children: list[dict[str, int]] = [{}]
+        self.entry: list[str | None] = [None]
+        self.most = [0]
+        for w in words:
+            node = 0
+            for c in w:
+                self.most[node] = max(self.most[node], edits(w))
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.entry.append(None)
+                    self.most.append(0)
+                node = self.children[node][c]
+            self.most[node] = max(self.most[node], edits(w))
+            self.entry[node] = w
+        self.forget()
+
+    def forget(self) -> None:
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.steps: list[dict[str, int]] = []
+        self.numbers: dict[tuple[tuple[int, int], ...], int] = {}
+        self.number({0: 0})
+
+    def number(self, spent: dict[int, int]) -> int:
+        """Close a state under letters of entries that the word lacks, and number it."""
+        todo = list(spent)
+        while todo:
+            node = todo.pop()
+            for child in self.children[node].values():
+                if (e := spent[node] + 1) <= self.most[child] and e < spent.get(child, 9):
+                    spent[child] = e
+                    todo.append(child)
+        key = tuple(sorted(spent.items()))
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+        return self.numbers[key]
+
+    def step(self, state: int, letter: str) -> int:
+        spent: dict[int, int] = {}
+        for node, e in self.states[state]:
+            if e + 1 <= self.most[node]:
+                spent[node] = min(spent.get(node, 9), e + 1)  # a letter too many
+            for c, child in self.children[node].items():
+                if (cost := e + (c != letter)) <= self.most[child]:
+                    spent[child] = min(spent.get(child, 9), cost)
+        self.steps[state][letter] = number = self.number(spent) if spent else -1
+        return number
+
+    def find(self, word: str) -> str | None:
+        """The nearest entry within the allowed distance, the alphabetically first of equally near ones."""
+        if not edits(word) or not self.children[0]:
+            return None
+        if len(self.states) > KNOWN_STATES:
+            self.forget()
+        state = 0
+        for c in word:
+            state = self.steps[state][c] if c in self.steps[state] else self.step(state, c)
+            if state < 0:
+                return None
+        found = [(e, self.entry[node]) for node, e in self.states[state] if self.entry[node] and e <= min(edits(word), edits(self.entry[node]))]
+        return min(found)[1] if found else None
 
 
 class Lexicon:
@@ -110,9 +156,13 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float], near: list[str]):
         self.weights = weights
-        self.trie = build_trie(near)
+        self.near = near
+        self.trie = NearWords(near)
         self.known: dict[str, tuple[str, str] | None] = {}
 
+    def __reduce__(self):
+        return _lexicon, (tuple(self.weights.items()), tuple(self.near))  # a worker keeps what it has looked up for later tasks
+
     def look_up(self, word: str) -> tuple[str, str] | None:
         """('exact' or 'near', the most specific entry) or None."""
         if word in self.weights:
@@ -120,7 +170,7 @@ class Lexicon:
         for k in range(min(len(word), LONGEST_START), 2, -1):
             if word[:k] + "*" in self.weights:
                 return "exact", word[:k] + "*"
-        entry = near_entry(self.trie, word)
+        entry = self.trie.find(word)
         return ("near", entry) if entry else None
 
     def hits(self, text: str) -> tuple[int, list[tuple[str, str, int, int]]]:
@@ -159,6 +209,11 @@ class Lexicon:
         return np.round([1.0, math.log1p(abuse), strongest, math.log1p(plain), math.log1p(near), math.log1p(quoted), min(3.0, math.log1p(close) + 20.0 * len(once) / max(20, n))], 3)
 
 
+@lru_cache(maxsize=4)
+def _lexicon(weights: tuple[tuple[str, float], ...], near: tuple[str, ...]) -> Lexicon:
+    return Lexicon(dict(weights), list(near))
+
+
 def fit_weights(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Logistic weights with a normal prior around PRIOR, by Newton's method; row i of ``x`` stands for n[i] documents, toxic[i] of them toxic."""
     w = PRIOR.copy()
