@@ -84,7 +84,7 @@ def replay(log: DataFrame, key: str, success: str, order: str) -> DataFrame:
 def gaps(log: DataFrame, group: list[str], ts: str, most: float = 600.0) -> DataFrame:
     """Seconds between consecutive rows, of which only those between 0 and ``most`` (both excluded) count."""
     before = F.lag(ts).over(Window.partitionBy(*group).orderBy(ts))
-    s = F.unix_micros(F.col(ts)) - F.unix_micros(before)
+    s = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
     return log.withColumn("gap", s / 1e6).where((F.col("gap") > 0) & (F.col("gap") < most))
 
 

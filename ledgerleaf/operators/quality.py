@@ -32,13 +32,12 @@ def _alert(rows: DataFrame, rule: str, message: Column, keys: tuple[str, ...], p
 
 def variants(form: Column, pairs: tuple[tuple[str, str], ...] = CONFUSIONS) -> Column:
     """array<struct<variant, pair>> of a form with one sign exchanged by each pair, either way; digits are never exchanged for digits."""
-    steps = []
-    for a, b in pairs:
-        for x, y in ((a, b), (b, a)):
-            if not (x.isdigit() and y.isdigit()):
-                at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(form), F.lit(1))), lambda i, x=x: F.substring(form, i, F.lit(1)) == x)
-                steps.append(F.transform(at, lambda i, x=x, y=y: F.struct(F.concat(F.substring(form, F.lit(1), i - 1), F.lit(y), F.substring(form, i + 1, F.length(form))).alias("variant"), F.lit(x + y).alias("pair"))))
-    return F.flatten(F.array(*steps))
+
+    def exchanged(x: str, y: str) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(form), F.lit(1))), lambda i: F.substring(form, i, F.lit(1)) == x)
+        return F.transform(at, lambda i: F.struct(F.concat(F.substring(form, F.lit(1), i - 1), F.lit(y), F.substring(form, i + 1, F.length(form))).alias("variant"), F.lit(x + y).alias("pair")))
+
+    return F.flatten(F.array(*[exchanged(x, y) for a, b in pairs for x, y in ((a, b), (b, a)) if not (x.isdigit() and y.isdigit())]))
 
 
 def cell_forms(cells: DataFrame, keys: list[str]) -> DataFrame:

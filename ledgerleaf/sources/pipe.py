@@ -18,11 +18,11 @@ FOOTER_WORDS = ("N° PLAN", "NO PLAN", "INDICE", "BORNIER :", "CABLE :", "P.E.T"
 
 def lines_of(raw: DataFrame, keys: list[str], text: str = "raw") -> DataFrame:
     """keys, line_idx, kind (tag in lower case, row, or other), body."""
-    lines = raw.select(*keys, F.posexplode(F.split(filled(F.col(text)), r"\r?\n", -1)).alias("line_idx", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    kind, body = F.when(F.contains("line", F.lit("|")), "row").otherwise("other"), F.col("line")
+    lines = raw.select(*keys, F.posexplode(F.split(filled(F.col(text)), r"\r?\n", -1)).alias("line_idx", "_line")).withColumn("_line", F.trim("_line")).where("_line <> ''")
+    kind, body = F.when(F.contains("_line", F.lit("|")), "row").otherwise("other"), F.col("_line")
     for t in TAGS:
-        at = F.startswith(F.upper("line"), F.lit(t + ":"))
-        kind, body = F.when(at, t.lower()).otherwise(kind), F.when(at, F.trim(F.substring("line", len(t) + 2, 1 << 20))).otherwise(body)
+        at = F.startswith(F.upper("_line"), F.lit(t + ":"))
+        kind, body = F.when(at, t.lower()).otherwise(kind), F.when(at, F.trim(F.substring("_line", len(t) + 2, 1 << 20))).otherwise(body)
     return lines.select(*keys, "line_idx", kind.alias("kind"), body.alias("body"))
 
 
