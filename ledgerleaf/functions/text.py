@@ -85,10 +85,11 @@ def page_key(c: Column) -> Column:
 
 
 def numbered(c: Column) -> Column:
-    """struct<prefix, number> of the last word, such as BORNE 12 or X7; null when it does not end in digits."""
-    last = F.element_at(F.concat(F.array(F.lit("")), words(c)), -1)
-    digits = F.regexp_extract(last, r"(\d+)$", 1)
-    return F.when(digits != "", F.struct(F.regexp_extract(last, r"^(.*?)\d+$", 1).alias("prefix"), digits.cast("int").alias("number")))
+    """struct<prefix, number>: the number that the last word starts with, and the words before it as the code (RM 11B is RM and 11); null when the last word is no number."""
+    ws = words(c)
+    last = F.element_at(F.concat(F.array(F.lit("")), ws), -1)
+    digits = F.regexp_extract(last, r"^(\d+)[A-Za-z]?$", 1)
+    return F.when(digits != "", F.struct(F.array_join(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), " ").alias("prefix"), digits.cast("int").alias("number")))
 
 
 def duration(seconds: Column) -> Column:

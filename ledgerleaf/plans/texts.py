@@ -124,10 +124,10 @@ def type_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("p", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "type"))).where("p = 1").drop("p")
 
 
-@query("SELECT p_partkey, upper(regexp_replace(p_name, '\\s', '', 'g')) AS compact, translate(upper(regexp_replace(p_name, '\\s', '', 'g')), 'OILS7BZ,', '0115T82.') AS folded, levenshtein(p_name, p_type) AS distance, regexp_extract(p_brand, '(\\d+)$', 1)::INT AS number FROM part")
+@query("SELECT p_partkey, upper(regexp_replace(p_name, '\\s', '', 'g')) AS compact, translate(upper(regexp_replace(p_name, '\\s', '', 'g')), 'OILS7BZ,', '0115T82.') AS folded, levenshtein(p_name, p_type) AS distance, p_size AS number FROM part")
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", text.compact(F.col("p_name")).alias("compact"), text.fold(F.col("p_name")).alias("folded"), F.levenshtein("p_name", "p_type").cast("long").alias("distance"), text.numbered(F.col("p_brand"))["number"].alias("number"))
+    return p.select("p_partkey", text.compact(F.col("p_name")).alias("compact"), text.fold(F.col("p_name")).alias("folded"), F.levenshtein("p_name", "p_type").cast("long").alias("distance"), text.numbered(F.concat(F.col("p_name"), F.lit(" "), F.col("p_size")))["number"].alias("number"))
 
 
 @query("""
