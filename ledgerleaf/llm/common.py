@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one Arrow batch hands to Python at most (a longer single text travels alone).
 BATCH_BYTES = 8 << 20
@@ -27,10 +28,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over byte-bounded batches."""
+#: What modules keep in a worker between tasks, by module: how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def drop_caches(but: str = "") -> None:
+    """Workers are used again by later operators: free what operators other than ``but`` have left in this one."""
+    for name, drop in CACHES.items():
+        if name != but:
+            drop()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` over byte-bounded batches; ``keeps`` names the cache that ``fn`` uses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(keeps)
+        yield from fn(batches)
+
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +79,7 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def filter_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+def filter_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text", keeps: str = "") -> DataFrame:
     """The rows of ``docs`` whose text ``keep`` accepts, with all their columns; a null text is judged as empty. No shuffle, no key needed."""
     at = docs.columns.index(text_col)
 
@@ -70,5 +87,4 @@ def filter_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_c
         for batch in batches:
             yield batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
 
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema, keeps)

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_arrow
+from .common import CACHES, id_text, map_arrow
 
 PIECE_CHARS = 1 << 14
 BATCH_CHARS = 1 << 19
@@ -41,6 +41,9 @@ def _tokenizer(path: str):
     return t
 
 
+CACHES["token_counts"] = _tokenizer.cache_clear
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """Split at safe boundaries into pieces of about ``size`` characters; their concatenation is the text."""
     at, n = 0, len(text)
@@ -84,4 +87,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return map_arrow(id_text(docs, id_col, text_col), run, SCHEMA)
+    return map_arrow(id_text(docs, id_col, text_col), run, SCHEMA, "token_counts")

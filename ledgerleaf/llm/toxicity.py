@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, id_text, map_arrow
+from .common import CACHES, filter_rows, id_text, map_arrow
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -44,7 +44,7 @@ LEAST_ODDS = 1.1  # natural logarithm of how many times likelier an entry is in
 LONGEST_START = 8
 ENTRIES = 20_000
 NEAR_ENTRIES = 200
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 17
 KNOWN_STATES = 1 << 15
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = frozenset("\"“”„«»‹›‘’")
@@ -209,11 +209,14 @@ class Lexicon:
         return np.round([1.0, math.log1p(abuse), strongest, math.log1p(plain), math.log1p(near), math.log1p(quoted), min(3.0, math.log1p(close) + 20.0 * len(once) / max(20, n))], 3)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _lexicon(weights: tuple[tuple[str, float], ...], near: tuple[str, ...]) -> Lexicon:
     return Lexicon(dict(weights), list(near))
 
 
+CACHES["toxicity"] = _lexicon.cache_clear
+
+
 def fit_weights(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Logistic weights with a normal prior around PRIOR, by Newton's method; row i of ``x`` stands for n[i] documents, toxic[i] of them toxic."""
     w = PRIOR.copy()
@@ -280,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             near = [sorted({e for kind, e, _, _ in lexicon.hits(t)[1] if kind == "near"}) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(near, pa.list_(pa.string()))], ["toxic", "near"])
 
-    found = map_arrow(rows, describe, "toxic int, near array<string>").select(F.explode("near").alias("entry"), "toxic")
+    found = map_arrow(rows, describe, "toxic int, near array<string>", "toxicity").select(F.explode("near").alias("entry"), "toxic")
     loose = {r["entry"] for r in found.groupBy("entry").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean")).where("clean > 0").collect()}  # at most NEAR_ENTRIES rows
     lexicon = Lexicon(weights, [t for t in whole if t not in loose])
 
@@ -290,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
     # equal feature rows are added up by Spark before the fit sees them
-    table = map_arrow(rows, features, "toxic int, x array<double>").groupBy("x").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).collect()
+    table = map_arrow(rows, features, "toxic int, x array<double>", "toxicity").groupBy("x").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).collect()
     x = np.array([r["x"] for r in table]).reshape(-1, len(PRIOR))
     order = np.lexsort(x.T)
     a, n = (np.array([r[k] for r in table], float) for k in ("a", "n"))
@@ -304,10 +307,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    scored = map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, score double")
+    scored = map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, score double", "toxicity")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` scored under THRESHOLD, with all their columns."""
-    return filter_rows(docs, lambda texts: [model.score(t) < THRESHOLD for t in texts], text_col)
+    return filter_rows(docs, lambda texts: [model.score(t) < THRESHOLD for t in texts], text_col, "toxicity")
