@@ -7,8 +7,8 @@ are encoded independently of each other, and the ids are concatenated. Only the
 of a pre-token carries the end-of-word mark.
 
 Text is read as the tokenizer file says: its special strings first, then its normaliser, then its
-pre-tokeniser. For texts in Latin letters the file's pattern is run as an equal pattern whose
-classes are spelled out; others go through the library's own pre-tokeniser.
+pre-tokeniser. Texts in Latin letters are lower-cased and cut by a pattern equal to the file's whose classes are
+spelled out; others go through the library's own normaliser and pre-tokeniser.
 
 Decoding joins the token strings as the library does for a file without a decoder: by one space.
 
@@ -21,19 +21,19 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow
+from .common import CACHES, id_text, map_arrow
 
 #: Pre-tokens whose encoding a worker remembers.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 
 
@@ -73,9 +73,12 @@ class Codec:
         #: Pairs of neighbours inside some token; every other pair is a certain cut.
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
         letters, numbers = _latin("L"), _latin("N")
+        # below U+0250 composing changes nothing, white space only separates, and both lower-casings agree
         self.odd = re.compile("[^\x00-ɏ]")
         self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\t-\\r \x85\xa0{letters}{numbers}]+").findall
-        self.seen: dict[str | tuple[str], tuple[tuple[int, ...], str]] = {}
+        self.seen_ids: dict[str | tuple[str], bytes] = {}
+        self.seen_names: dict[str | tuple[str], str] = {}
+        self.old_ids, self.old_names = dict(self.seen_ids), dict(self.seen_names)
 
     def fragments(self, word: str) -> list[str]:
         """A byte-level pre-token cut at every pair that no token holds."""
@@ -87,45 +90,51 @@ class Codec:
         out.append(word[at:])
         return out
 
-    def encode_word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids and token strings of a pre-token in byte-level letters."""
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of a pre-token in byte-level letters."""
         *first, last = self.fragments(word)
-        ids = tuple([t.id for f in first for t in self.inner.tokenize(f)] + [t.id for t in self.whole.tokenize(last)])
-        return ids, " ".join([self.names[i] for i in ids])
+        return [t.id for f in first for t in self.inner.tokenize(f)] + [t.id for t in self.whole.tokenize(last)]
 
     def words(self, text: str) -> list[str | tuple[str]]:
         """Pre-tokens of a text without special strings: Latin ones as they stand, others in byte-level letters inside a 1-tuple."""
-        text = self.normalizer.normalize_str(text) if self.normalizer else text
-        if self.odd.search(text):
-            return [(w,) for w, _ in self.pre_tokenizer.pre_tokenize_str(text)]
-        return self.latin_words(text)
+        low = text.lower()
+        if self.odd.search(text) or self.odd.search(low):
+            return [(w,) for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return self.latin_words(low)
 
     def learn(self, words: list[str | tuple[str]]) -> None:
-        new = set(words).difference(self.seen)
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen.clear()
+        """Encode the words not seen yet; ids are kept as the bytes of 32-bit numbers, so that those of a text are joined at once. A full cache becomes the old one, from which words still in use come back."""
+        new = set(words).difference(self.seen_ids)
+        if len(self.seen_ids) + len(new) > CACHE_WORDS:
+            self.old_ids, self.old_names = self.seen_ids, self.seen_names
+            self.seen_ids, self.seen_names = {}, {}
             new = set(words)
         for w in new:
-            self.seen[w] = self.encode_word(w[0] if isinstance(w, tuple) else w.encode().decode("latin-1").translate(self.to_letters))
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids of a whole text and its decoding."""
+            ids = self.old_ids.get(w)
+            if ids is None:
+                got = self.encode_word(w[0] if isinstance(w, tuple) else w.encode().decode("latin-1").translate(self.to_letters))
+                self.seen_ids[w] = array("i", got).tobytes()
+                self.seen_names[w] = " ".join([self.names[i] for i in got])
+            else:
+                self.seen_ids[w], self.seen_names[w] = ids, self.old_names[w]
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a whole text, as bytes of 32-bit numbers, and its decoding."""
         parts = self.special_re.split(text) if self.special_re else [text]
-        ids: list[int] = []
+        ids: list[bytes] = []
         names: list[str] = []
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(self.special[part])
+                ids.append(array("i", [self.special[part]]).tobytes())
                 names.append(part)
             elif part:
                 words = self.words(part)
                 for at in range(0, len(words), CACHE_WORDS // 2):  # so that what one call needs always fits the cache
                     some = words[at : at + CACHE_WORDS // 2]
                     self.learn(some)
-                    got = [self.seen[w] for w in some]
-                    ids.extend(chain.from_iterable(g[0] for g in got))
-                    names.extend(g[1] for g in got if g[0])
-        return ids, " ".join(names)
+                    ids += map(self.seen_ids.__getitem__, some)
+                    names += filter(None, map(self.seen_names.__getitem__, some))
+        return b"".join(ids), " ".join(names)
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with skip_special_tokens=False and no decoder in the file."""
@@ -137,6 +146,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+CACHES["bpe"] = codec.cache_clear
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (array<int>), decoded (the text those ids decode to)."""
 
@@ -145,12 +157,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             got = [c.encode(t) for t in batch.column(1).to_pylist()]
             ends = np.zeros(len(got) + 1, np.int32)
-            np.cumsum([len(ids) for ids, _ in got], out=ends[1:])
-            flat = np.fromiter(chain.from_iterable(ids for ids, _ in got), np.int32, count=int(ends[-1]))
+            np.cumsum([len(ids) // 4 for ids, _ in got], out=ends[1:])
+            flat = np.frombuffer(b"".join(ids for ids, _ in got), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([d for _, d in got], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_arrow(id_text(docs, id_col, text_col), run, SCHEMA)
+    return map_arrow(id_text(docs, id_col, text_col), run, SCHEMA, "bpe")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
