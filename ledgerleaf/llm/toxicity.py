@@ -49,7 +49,7 @@ KNOWN_STATES = 1 << 15
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = frozenset("\"“”„«»‹›‘’")
 #: Weights before data of: constant, abuse (summed), abuse (strongest), hits, near, quoted, density.
-PRIOR = np.array([-5.0, 1.5, 0.4, 1.0, 1.0, 0.3, 0.3])
+PRIOR = np.array([-5.0, 1.5, 0.4, 1.0, 2.0, 0.3, 0.3])
 PRIOR_STRENGTH = np.array([0.1, 0.1, 0.3, 0.3, 1.0, 1.0, 3.0])
 
 
