@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import CACHES, bounded_batches, drop_caches
 
 CHUNK = 1 << 17  # symbols that are hashed together
 BUCKET_BYTES = 6 << 20  # text of a bucket
@@ -47,6 +47,7 @@ GOLD = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 20) - 1)
 MESSAGE = "to int, bucket int, blob binary"
 _words: dict[bytes, int] = {}
+CACHES["repeats"] = _words.clear
 
 
 @dataclass(frozen=True)
@@ -160,6 +161,11 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[some[0]]), some
 
 
+def _among(known: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``some`` are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some if len(known) else np.zeros(len(some), bool)
+
+
 def _narrow(t: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each value."""
     return np.ascontiguousarray(t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -217,6 +223,7 @@ def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], d
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "docs"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches("repeats")
         for batch in batches:
             bucket, known = batch.column(0).to_numpy(), batch.column(1).is_valid()
             doc, _, _, _, key = _gather(kind, [kind.symbols(t) if k else kind.symbols("") for t, k in zip(batch.column(2).to_pylist(), known.to_pylist())])
@@ -336,8 +343,8 @@ def cut_entries(kind: Kind, sizes: Sizes, bucket: int, ids: list[int | None], te
             best[name] = [(k, s)]
 
     for doc, i0, i1, a, key in stretches(kind, symbols):
-        take = np.isin(sizes.short(key), shared)
-        for k, s, t, p, h, many in zip(doc[take].tolist(), i0[take].tolist(), i1[take].tolist(), a[take].tolist(), key[take].tolist(), np.isin(key[take], hot).tolist()):
+        take = _among(shared, sizes.short(key))
+        for k, s, t, p, h, many in zip(doc[take].tolist(), i0[take].tolist(), i1[take].tolist(), a[take].tolist(), key[take].tolist(), _among(hot, key[take]).tolist()):
             if many:
                 from xxhash import xxh64_intdigest
 
@@ -442,6 +449,8 @@ def _word_counts(sizes: np.ndarray, content: bytes) -> np.ndarray:
 
 def later(identity: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a smaller document stands under the same identity."""
+    if not len(doc):
+        return np.zeros(0, bool)
     order = np.argsort(identity, kind="stable")
     same = identity[order]
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
