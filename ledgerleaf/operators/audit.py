@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, filled
+from .running import running_total
 
 # Marks that stand for "no signal"; the longest colour code.
 NO_SIGNAL = ("-", "NC", "N/C", "N.C.")
@@ -90,8 +91,7 @@ def gaps(log: DataFrame, group: list[str], ts: str, most: float = 600.0) -> Data
 
 def evict(cache: DataFrame, age: str, size: str, oldest: float, most: float, tie: str) -> DataFrame:
     """What a cache keeps: nothing older than ``oldest``, then the newest while their sizes add up to ``most`` at most."""
-    w = Window.orderBy(F.asc(age), F.asc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    return cache.where(F.col(age) <= oldest).withColumn("held", F.sum(size).over(w)).where(F.col("held") <= most)
+    return running_total(cache.where(F.col(age) <= oldest), age, size, "held", (tie,)).where(F.col("held") <= most)
 
 
 def reused_ids(log: DataFrame, seen: DataFrame, ident: str) -> DataFrame:

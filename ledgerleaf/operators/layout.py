@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
+from .running import running_total
 
 # Blank rows are added above this many heights of gap, at most three; rows of a sheet page and of its footer.
 BLANK_FROM = 1.6
@@ -55,11 +56,10 @@ def clusters(rows: DataFrame, group: list[str], value: str, gap: float, tie: str
 
 
 def into_columns(words: DataFrame, bounds: DataFrame, group: list[str], x: str = "x0") -> DataFrame:
-    """Each word with the column whose bounds hold its ``x`` (from lo, below hi), words right of all in the last: a range join within the page, whose columns are few."""
-    last = bounds.groupBy(*group).agg(F.max("col_idx").alias("_last"))
-    hit = words.join(bounds.select(*group, "col_idx", "lo", "hi"), group).where((F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))).select(*words.columns, "col_idx")
-    rest = words.join(bounds.select(*group, "lo", "hi"), group, "inner").groupBy(*words.columns).agg(F.max(((F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))).cast("int")).alias("_in")).where("_in = 0").drop("_in")
-    return hit.unionByName(rest.join(last, group).withColumnRenamed("_last", "col_idx"))
+    """Each word with the column whose bounds hold its ``x`` (from lo, below hi), words outside all in the last: one equi-join with the page's few bounds as an array, not a row for each pair."""
+    per = bounds.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("col_idx", "lo", "hi"))).alias("_bounds"))
+    hit = F.get(F.filter("_bounds", lambda b: (F.col(x) >= b["lo"]) & (F.col(x) < b["hi"])), F.lit(0))
+    return words.join(per, group).select(*words.columns, F.coalesce(hit["col_idx"], F.element_at("_bounds", -1)["col_idx"]).alias("col_idx"))
 
 
 def cells_from_words(words: DataFrame, group: list[str], x: str = "x0", text: str = "text", conf: str = "conf") -> DataFrame:
@@ -121,10 +121,9 @@ def find_header(rows: DataFrame, page: list[str], words: list[str]) -> DataFrame
 
 
 def sheet_rows(rows: DataFrame, block: list[str], order: str, size: int = SHEET_ROWS) -> DataFrame:
-    """``rows`` with sheet_row: blocks stand below each other in order, each as high as whole sheets that hold a header, its rows and the footer. Blocks are numbered by a sum over one row per block."""
+    """``rows`` with sheet_row: blocks stand below each other in order of their (numeric) first key, each as high as whole sheets that hold a header, its rows and the footer."""
     per = rows.groupBy(*block).agg((F.ceil((1 + F.count("*") + FOOTER_ROWS) / F.lit(size)) * size).cast("long").alias("height"))
-    w = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    start = per.withColumn("start", F.coalesce(F.sum("height").over(w), F.lit(0)))
+    start = running_total(per, block[0], "height", "_end", tuple(block[1:])).select(*block, (F.col("_end") - F.col("height")).alias("start"))
     return rows.join(start, block).withColumn("sheet_row", F.col("start") + 1 + F.row_number().over(Window.partitionBy(*block).orderBy(order)))
 
 

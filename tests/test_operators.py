@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerleaf import schema
 from ledgerleaf.functions import similarity, text
 from ledgerleaf.operators import align, audit, dedup, diff, geometry, layout, measure, quality
+from ledgerleaf.operators.running import running_total
 
 
 def one(spark, column, **values):
@@ -152,6 +153,17 @@ def test_replay_and_eviction(spark):
     assert [r.name for r in audit.evict(cache, "age", "size", 90, 80.0, "name").orderBy("age").collect()] == ["x", "y"]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_running_total(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.randrange(12), k, rng.randrange(100)) for k in range(300)]
+    got = running_total(spark.createDataFrame(rows, "o int, k int, v int"), "o", "v", "s", ("k",), parts).orderBy("o", "k").collect()
+    total = 0
+    for (o, k, v), r in zip(sorted(rows), got):
+        total += v
+        assert (r.o, r.k, r.s) == (o, k, total)
+
+
 def test_first_bad_word(spark):
     assert one(spark, audit.first_bad_word(F.col("x"), r"\d{4,5}[A-Z]?"), x="1234 12 99999A x") == "12"
 
