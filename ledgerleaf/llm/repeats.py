@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, bounded_batches, drop_caches
+from .common import bounded_batches, drop_caches
 
 CHUNK = 1 << 17  # symbols that are hashed together
 BUCKET_BYTES = 6 << 20  # text of a bucket
@@ -46,8 +46,56 @@ HOT = 512  # documents of the sample
 GOLD = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 20) - 1)
 MESSAGE = "to int, bucket int, blob binary"
-_words: dict[bytes, int] = {}
-CACHES["repeats"] = _words.clear
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 256
+
+
+class Words:
+    """The words of a text as places in its bytes: no object for each word."""
+
+    __slots__ = ("raw", "s", "e")
+
+    def __init__(self, raw: bytes, s: np.ndarray | None = None, e: np.ndarray | None = None):
+        if s is None:
+            turn = np.diff(_SPACE[np.frombuffer(raw, np.uint8)].view(np.int8), prepend=1, append=1)
+            s, e = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        self.raw, self.s, self.e = raw, s, e
+
+    def __len__(self) -> int:
+        return len(self.s)
+
+    def __getitem__(self, some: slice) -> "Words":
+        s, e = self.s[some], self.e[some]
+        return Words(self.raw[s[0] : e[-1]], s - s[0], e - s[0]) if len(s) else Words(b"")
+
+    def cut(self, a: int, b: int) -> bytes:
+        return b" ".join(self.raw[self.s[a] : self.e[b - 1]].split()) if b > a else b""
+
+
+def word_values(texts: list[Words]) -> np.ndarray:
+    """Hashes of all words, eight bytes at a time."""
+    from xxhash import xxh64_intdigest
+
+    raw = b"".join(t.raw for t in texts)
+    at = np.cumsum([0] + [len(t.raw) for t in texts[:-1]])
+    s, e = (np.concatenate([x + p for x, p in zip(xs, at)]) for xs in ([t.s for t in texts], [t.e for t in texts]))
+    n = e - s
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    h = mix((eight[s] & _MASKS[np.minimum(n, 8)]) + n.astype(np.uint64))
+    done, rest = 8, np.flatnonzero((n > 8) & (n <= LONG_WORD))
+    while len(rest):
+        h[rest] = mix(h[rest] * np.uint64(GOLD) + (eight[s[rest] + done] & _MASKS[np.minimum(n[rest] - done, 8)]))
+        done += 8
+        rest = rest[n[rest] > done]
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        h[k] = xxh64_intdigest(raw[s[k] : e[k]])
+    return h
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
 @dataclass(frozen=True)
@@ -58,22 +106,15 @@ class Kind:
     window: int
     gram: int
 
-    def symbols(self, text: str) -> bytes | list[bytes]:
-        return text.encode().split() if self.words else text.encode()
-
-    def values(self, some: bytes | list[bytes]) -> np.ndarray:
-        if not self.words:
-            return np.frombuffer(some, np.uint8).astype(np.uint64)
-        from xxhash import xxh64_intdigest
+    def symbols(self, text: str) -> bytes | Words:
+        return Words(text.encode()) if self.words else text.encode()
 
-        if len(_words) > 1 << 19:
-            _words.clear()
-        for w in set(some).difference(_words):
-            _words[w] = xxh64_intdigest(w)
-        return np.fromiter(map(_words.__getitem__, some), np.uint64, count=len(some))
+    def values(self, some: list[bytes] | list[Words]) -> np.ndarray:
+        """A number for each symbol of all texts, in a row."""
+        return word_values(some) if self.words else np.frombuffer(b"".join(some), np.uint8).astype(np.uint64)
 
-    def cut(self, some: bytes | list[bytes], s: int, e: int) -> bytes:
-        return b" ".join(some[s:e]) if self.words else some[s:e]
+    def cut(self, some: bytes | Words, s: int, e: int) -> bytes:
+        return some.cut(s, e) if self.words else some[s:e]
 
 
 def roll(v: np.ndarray, size: int) -> np.ndarray:
@@ -82,8 +123,7 @@ def roll(v: np.ndarray, size: int) -> np.ndarray:
     while n < size:
         h = h[:-n] * np.uint64(m) + h[n:]
         n, m = 2 * n, m * m % (1 << 64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    return mix(h)
 
 
 def least(v: np.ndarray, width: int) -> np.ndarray:
@@ -95,17 +135,16 @@ def least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - rest], v[rest:]) if rest else v
 
 
-def stretches(kind: Kind, texts: list[bytes | list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+def stretches(kind: Kind, texts: list[bytes | Words]) -> Iterator[tuple[np.ndarray, ...]]:
     """For chunks of texts: text number, first and last window start, anchor place (in symbols of the text) and anchor hash of each stretch."""
     w = kind.window
-    pending: list[tuple[int, int, bytes | list[bytes]]] = []
+    pending: list[tuple[int, int, bytes | Words]] = []
     size = 0
 
     def work() -> tuple[np.ndarray, ...] | None:
         lens = np.array([len(p[2]) for p in pending])
         first = np.concatenate([[0], np.cumsum(lens)])
-        joined = [x for p in pending for x in p[2]] if kind.words else b"".join(p[2] for p in pending)
-        g = roll(kind.values(joined), kind.gram)
+        g = roll(kind.values([p[2] for p in pending]), kind.gram)
         at = least((g & ~PLACE) | np.arange(len(g), dtype=np.uint64), w - kind.gram + 1) & PLACE
         edge = np.zeros(first[-1] + 1, np.int32)
         edge[first[:-1]] += 1
@@ -131,7 +170,7 @@ def stretches(kind: Kind, texts: list[bytes | list[bytes]]) -> Iterator[tuple[np
         yield work()
 
 
-def _gather(kind: Kind, texts: list[bytes | list[bytes]]) -> list[np.ndarray]:
+def _gather(kind: Kind, texts: list[bytes | Words]) -> list[np.ndarray]:
     parts = list(stretches(kind, texts))
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
 
@@ -223,7 +262,7 @@ def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], d
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "docs"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches("repeats")
+        drop_caches()
         for batch in batches:
             bucket, known = batch.column(0).to_numpy(), batch.column(1).is_valid()
             doc, _, _, _, key = _gather(kind, [kind.symbols(t) if k else kind.symbols("") for t, k in zip(batch.column(2).to_pylist(), known.to_pylist())])
@@ -302,10 +341,10 @@ def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], d
                 a, b = a[new], far[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(far) - 1]])]
             flat = np.stack([a, b], axis=1).ravel().tolist()
             edges = [0, *flat, len(some)]
-            left = [some[x:y] for x, y in zip(edges[::2], edges[1::2])]
+            left = [kind.cut(some, x, y) for x, y in zip(edges[::2], edges[1::2]) if y > x]
             n.append(len(some))
             runs.append(flat)
-            kept.append(b" ".join(w for part in left for w in part) if kind.words else b"".join(left))
+            kept.append((b" " if kind.words else b"").join(left))
         return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "n", "runs", "kept"])
 
     carried = addressed.mapInArrow(carry, "bucket int, docs binary")
