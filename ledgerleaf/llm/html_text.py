@@ -50,8 +50,8 @@ WEAK_CONTENT = frozenset("content page text body main".split())
 BOILER_TEXT = re.compile(r"\b(?:cookies?|all rights reserved|subscribe|sign (?:up|in)|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored|newsletter)\b|©", re.I)
 
 #: Classifier weights, in units of cost.
-STRONG, IN_ARTICLE, IN_CONTENT, PER_WORD, MOST_WORDS, PUNCTUATION, LINKS, PHRASE, BIAS = 24.0, 8.0, 3.0, 0.12, 4.0, 1.0, 5.0, 2.0, -1.5
-NEXT, SIBLING = 1.0, 1.5
+STRONG, IN_ARTICLE, IN_CONTENT, PER_WORD, MOST_WORDS, PUNCTUATION, HEADING, LINKS, PHRASE, BIAS = 24.0, 8.0, 3.0, 0.12, 4.0, 1.0, 1.5, 5.0, 2.5, -1.5
+NEXT, SIBLING = 1.5, 2.0
 
 
 class Block:
@@ -178,8 +178,10 @@ def leaning(b: Block) -> float:
     boiler, article, content = b.kind
     words = b.text.count(" ") + 1
     s = BIAS + min(MOST_WORDS, PER_WORD * words) - LINKS * b.link / len(b.text) - PHRASE * bool(words < 40 and BOILER_TEXT.search(b.text))
-    s += PUNCTUATION if b.text[-1] in ".!?…:;,\"”»" else -PUNCTUATION / 2
-    s += PUNCTUATION * (b.tag in ("p", "h1", "h2", "blockquote", "pre"))
+    if b.tag in ("h1", "h2", "h3"):
+        s += HEADING
+    else:
+        s += (PUNCTUATION if b.text[-1] in ".!?…:;,\"”»" else -PUNCTUATION / 2) + PUNCTUATION * (b.tag in ("p", "blockquote", "pre"))
     return s - STRONG * boiler + (IN_ARTICLE * article or IN_CONTENT * content) * (not boiler)
 
 
