@@ -50,7 +50,7 @@ WEAK_CONTENT = frozenset("content page text body main".split())
 BOILER_TEXT = re.compile(r"\b(?:cookies?|all rights reserved|subscribe|sign (?:up|in)|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored|newsletter)\b|©", re.I)
 
 #: Classifier weights, in units of cost.
-STRONG, IN_ARTICLE, IN_CONTENT, PER_WORD, MOST_WORDS, PUNCTUATION, HEADING, LINKS, PHRASE, BIAS = 24.0, 8.0, 3.0, 0.12, 4.0, 1.0, 1.5, 5.0, 2.5, -1.5
+STRONG, IN_ARTICLE, IN_CONTENT, PER_WORD, MOST_WORDS, PUNCTUATION, HEADING, LINKS, PHRASE, BIAS = 24.0, 8.0, 3.0, 0.12, 4.0, 1.0, 2.5, 5.0, 2.5, -1.5
 NEXT, SIBLING = 1.5, 2.0
 
 
