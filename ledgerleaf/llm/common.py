@@ -61,17 +61,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def ready_to_checkpoint(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def table_once(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: its lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of ``table_once`` that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._table)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, table_once
+from .common import forget, id_text, map_arrow, table_once
 
 SHINGLE = 3
 SEED = 42
@@ -113,8 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = table_once(small.where("u <> v").distinct())
+        older, edges = edges, table_once(small.where("u <> v").distinct())
         now = state(edges)
+        forget(older)
         if now == before:
             break
         before = now

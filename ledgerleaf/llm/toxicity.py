@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, filter_rows, id_text, map_arrow
+from .common import CACHES, filter_rows, id_text, map_arrow, table_once
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -249,7 +249,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = training_rows(docs, labels, sample, id_col, text_col)
+    rows = table_once(training_rows(docs, labels, sample, id_col, text_col))  # bounded by the sample; read three times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
