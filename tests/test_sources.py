@@ -103,11 +103,11 @@ def test_streams(spark, tmp_path):
 def test_open_footers(spark):
     from ledgerleaf.sources import footer
 
-    lines = ["|-----|", "| M A T R A | CABLE : ACC/PH01 12 8/10 | TYPE : K2 left |", "N° PLAN : 223 INDICE: B PAGE 32", "CABLE : other"]
+    lines = ["|-----|", "| N O R D A | CABLE : ACC/PH01 12 8/10 | TYPE : K2 left |", "N° PLAN : 223 INDICE: B PAGE 32", "CABLE : other"]
     clean, logo = footer.split_logo(lines)
-    assert logo == "M A T R A" and clean[0].startswith("CABLE")
+    assert logo == "N O R D A" and clean[0].startswith("CABLE")
     got = footer.read_footer(clean)
     assert got == {"CABLE": "ACC/PH01", "TYPE": "K2", "NO_PLAN": "223", "INDICE": "B", "PAGE": "32", "COMPLEMENT": "12 8/10 left"}
     assert footer.read_footer(["P.E.T. : 12 8/10   RACK 7"]) == {"PET": "12", "COMPLEMENT": "8/10", "EMPLACEMENT_BORNIER": "RACK 7"}
     df = spark.createDataFrame([(lines,), (None,), ([],)], "l array<string>")
-    assert [r.m for r in df.select(footer.footer_map(F.col("l")).alias("m")).collect()] == [got | {"LOGO": "M A T R A"}, {}, {}]
+    assert [r.m for r in df.select(footer.footer_map(F.col("l")).alias("m")).collect()] == [got | {"LOGO": "N O R D A"}, {}, {}]
