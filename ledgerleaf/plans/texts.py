@@ -73,6 +73,32 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def page_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as pages of two readings, the second in another order and with misread rows."""
+    a, b = order_pages(spark, sf_dir)
+    return align.match_pages(a, b.withColumn("rank", -F.col("rank")), ["o_custkey"]).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def page_match_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents of two hundred rows on ten pages; the second reading misses pages and misreads names."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 200).alias("doc"), (F.col("p_size") % 10).alias("rank"), "p_partkey", "p_name")
+
+    def pages(name: F.Column) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("p_partkey", name.alias("line"))))
+        return p.groupBy("doc", "rank").agg(F.transform(rows, lambda r: r["line"]).alias("lines"))
+
+    misread = F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", "lo", "10")).otherwise(F.col("p_name"))
+    return align.match_pages_ordered(pages(F.col("p_name")), pages(misread).where("(doc + rank) % 5 <> 0"), ["doc"])
+
+
+@query()
+def row_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of an order paired between unique equal keys; the second reading lost and misread some."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("row_idx")).agg(F.max(F.col("l_partkey").cast("string")).alias("row_key"))
+    other = li.where("(l_orderkey + row_idx) % 7 <> 0").withColumn("row_key", F.when(F.col("row_idx") % 3 == 0, F.translate("row_key", "17", "71")).otherwise(F.col("row_key")))
+    return align.anchored_rows(li, other, ["l_orderkey"])
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     misread = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey"))
@@ -81,8 +107,7 @@ def page_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat_ws(" ", part, "l_suppkey").alias("line"))))
         return li.groupBy("o_custkey", rank.alias("rank")).agg(F.collect_set(part.cast("string")).alias("words"), F.transform(rows, lambda r: r["line"]).alias("lines"))
 
-    a, b = pages(F.col("l_partkey"), F.col("l_orderkey")), pages(misread, -F.col("l_orderkey"))
-    return align.match_pages(a, b, ["o_custkey"]).withColumn("similarity", F.round("similarity", 9))
+    return pages(F.col("l_partkey"), F.col("l_orderkey")), pages(misread, F.col("l_orderkey"))
 
 
 def paired_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
