@@ -218,11 +218,26 @@ def test_geometry(spark):
     (a, b) = geometry.fit_one([[(0, 0), (1, 0)], [(2, 0), (3, 0)]])
     assert a == pytest.approx((0, 0)) and b == pytest.approx((3, 0))
     df = spark.sql("SELECT array(named_struct('x', 0D, 'y', 0D), named_struct('x', 3D, 'y', 4D)) AS p")
-    r = df.select(geometry.path_length(F.col("p")).alias("n"), geometry.path_angle(F.col("p")).alias("a"), geometry.nearest_weight(F.lit(0.3)).alias("w")).first()
-    assert (r.n, round(r.a, 3), r.w) == (5.0, 53.13, 0.25)
+    r = df.select(geometry.path_length(F.col("p")).alias("n"), geometry.path_angle(F.col("p")).alias("a"), geometry.line_weight(F.lit(0.5)).alias("w")).first()
+    assert (r.n, round(r.a, 3), r.w) == (5.0, 53.13, 0.18)
 
 
 def test_cells_of_pages(spark):
     rows = [("d", 0, True, None, None, None, ["A", "B"], [("data", ["x"], [90], None, None, None), ("section", [], None, "S", None, None)], None, None, None)]
     got = schema.cells_of(spark.createDataFrame(rows, schema.PAGE)).where("row_type = 'data'").orderBy("col_idx").collect()
     assert [(r.col_name, r.value, r.confidence) for r in got] == [("A", "x", 90), ("B", "", None)]
+
+
+def test_corners_and_dashes(spark):
+    path = [(float(x), 0.0) for x in range(40)] + [(39.0, float(y)) for y in range(1, 40)]
+    found = geometry.apart(geometry.corners(path), path)
+    assert found[0] == 0 and found[-1] == len(path) - 1 and any(35 <= k <= 43 for k in found)
+    soft = geometry.smooth(path)
+    assert soft[0] == path[0] and soft[-1] == path[-1] and max(math.dist(a, b) for a, b in zip(path, soft)) < 2
+    assert geometry.corners(path[:30]) == [0, 29] and geometry.smooth(path[:4]) == path[:4]
+    dashes = [[(x, 0.0), (x + 4.0, 0.0)] for x in (0.0, 6.0, 12.0, 18.0)]
+    assert geometry.dash_pattern(dashes) == {"dash": 4.0, "gap": 2.0, "scale": 0.31, "start": (0.0, 0.0), "end": (22.0, 0.0)}
+    assert geometry.dash_pattern([[(0.0, 0.0), (4.0, 0.0)], [(5.0, 0.0), (9.0, 0.0)], [(30.0, 0.0), (34.0, 0.0)]]) is None
+    df = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in path])], "k int, points array<struct<x:double,y:double>>")
+    parts = geometry.split_at_corners(df, ["k"]).orderBy("stretch").collect()
+    assert len(parts) == len(found) - 1 and parts[0].points[0].x == 0.0
