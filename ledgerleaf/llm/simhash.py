@@ -1,13 +1,14 @@
 """SimHash near-duplicates: pigeonhole blocks, joins on blocks, exact verification, components.
 
-A fingerprint has 64 bits in four blocks of 16. Two fingerprints that differ in at most two bits
-agree in two blocks at least, so each distinct fingerprint is dealt out under the six pairs of its
-blocks and only fingerprints under the same pair of block values meet. Copies never meet:
-equal fingerprints are folded into one node first, with their smallest doc_id.
+A fingerprint has 64 bits in four blocks. Two fingerprints that differ in at most two bits agree in two
+blocks at least, so each distinct fingerprint is dealt out under the six pairs of its blocks and
+only fingerprints under the same pair of block values meet. From MANY fingerprints on, when pairs of
+values begin to coincide by chance, there are five blocks and the ten sets of three. Copies never
+meet: equal fingerprints are folded into one node first, with their smallest doc_id.
 
 A bucket of at most PAIRS nodes compares its nodes with each other. A fuller bucket deals its
-nodes out once more: two nodes of a bucket differ in at most two of the 32 other bits exactly when
-some value lies within one bit of both, so each node goes to the 33 values within one bit of
+nodes out once more: two nodes of a bucket differ in at most two of the other bits exactly when
+some value lies within one bit of both, so each node goes to the values within one of those bits of
 its own, nodes that meet at a value link to the smallest node there, and the work stays in
 proportion to the bucket's size. Every link found is verified by its Hamming distance, or, between
 nodes that meet at a value, holds by construction through links of distance two at most.
@@ -38,6 +39,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 PAIRS = 12
+MANY = 1 << 28
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 15
 
@@ -72,27 +74,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
-def _block(a: int) -> F.Column:
-    return F.shiftright(F.col("fp"), 16 * a).bitwiseAND(F.lit(0xFFFF))
+def layout(blocks: int) -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, blocks: int | None = None) -> DataFrame:
     """a < b: pairs of distinct fingerprints (column fp of ``nodes``, no copies) at DISTANCE bits or fewer; full buckets give only links that keep their components together."""
-    pairs = list(combinations(range(4), 2))
-    keys = F.array(*[F.shiftleft(_block(a), 16).bitwiseOR(_block(b)) for a, b in pairs])
-    dealt = nodes.select("fp", F.posexplode(keys).alias("pair", "key"))
+    places = layout(blocks or (4 if nodes.count() < MANY else 5))
+    sets = list(combinations(places, len(places) - DISTANCE))
+
+    def key(some: tuple[tuple[int, int], ...]) -> F.Column:
+        out = F.lit(0).cast("bigint")
+        for at, width in some:
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftright("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
+        return out
+
+    dealt = nodes.select("fp", F.posexplode(F.array(*[key(x) for x in sets])).alias("pair", "key"))
     sizes = dealt.groupBy("pair", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = table_once(dealt.join(sizes, ["pair", "key"]))
     small = met.where(F.col("n") <= PAIRS).select("pair", "key", "fp")
     near = small.select("pair", "key", F.col("fp").alias("a")).join(small.select("pair", "key", F.col("fp").alias("b")), ["pair", "key"])
     near = near.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
     within = F.lit(None).cast("array<bigint>")
-    for k, blocks in enumerate(pairs):
-        others = [i for i in range(64) if i // 16 not in blocks]
+    for k, some in enumerate(sets):
+        others = [i for at, width in places if (at, width) not in some for i in range(at, at + width)]
         ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) if i < 63 else -(1 << 63)).cast("bigint")) for i in others])
         within = F.when(F.col("pair") == k, ball).otherwise(within)
     balls = met.where(F.col("n") > PAIRS).select("pair", "fp", F.explode(within).alias("value"))
-    # a value lies within one bit of 33 fingerprints of a bucket at most, which bounds these lists
+    # a value lies within one of the other bits of 33 fingerprints of a bucket at most, which bounds these lists
     meet = balls.groupBy("pair", "value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     hubs = meet.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     hubs = hubs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)

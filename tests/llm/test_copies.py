@@ -43,8 +43,9 @@ def brute_components(fps):
     return {f: root(f) for f in fps}
 
 
+@pytest.mark.parametrize("blocks", [4, 5])
 @pytest.mark.parametrize("pairs", [1, 12, 1000])
-def test_links_keep_components(spark, monkeypatch, pairs):
+def test_links_keep_components(spark, monkeypatch, pairs, blocks):
     """With crowded buckets, chains and far pairs, whatever the bucket's bound."""
     monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = random.Random(pairs)
@@ -57,7 +58,7 @@ def test_links_keep_components(spark, monkeypatch, pairs):
                 b = rng.randrange(64)
                 at ^= (1 << b) if b < 63 else -(1 << 63)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    edges = simhash.links(df)
+    edges = simhash.links(df, blocks)
     assert all(bin((r.a ^ r.b) % (1 << 64)).count("1") <= 2 for r in edges.collect())
     want = brute_components(fps)
     got = {f: f for f in fps} | {r.node: r.root for r in simhash.components(edges).collect()}
