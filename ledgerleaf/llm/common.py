@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import ship
+
 #: Bytes of text that one Arrow batch hands to Python at most (a longer single text travels alone).
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2_000
@@ -20,7 +22,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what Spark hands to a Python worker at once, by rows and by bytes."""
+    """Bound what Spark hands to a Python worker at once, by rows and by bytes, and see that the worker knows this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
