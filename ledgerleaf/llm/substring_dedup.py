@@ -62,7 +62,7 @@ def report(found: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-win AS (SELECT r, doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(p)),
+win AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS p, unnest(list_transform(range(1, len(w) - 11), lambda p: array_to_string(w[p : p + 12], ' '))) AS s FROM d WHERE len(w) >= 13),
 low AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s HAVING count(*) > 1),
 gone AS (SELECT DISTINCT r, q FROM win JOIN low USING (s), unnest(range(p, p + 13)) AS u(q) WHERE win.doc_id > low.low),
 each AS (SELECT r, doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d),

@@ -166,10 +166,10 @@ def report(found: DataFrame) -> DataFrame:
     return summary(found, "n_bytes")
 
 
-#: Bytes as pairs of hexadecimal digits, since a string of 50 bytes may cut a character.
+#: Bytes as pairs of hexadecimal digits, since a string of 50 bytes may cut a character; windows by a 64-bit hash, to spare memory.
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, CAST(len(h) / 2 AS BIGINT) - 49)) AS u(p)),
+win AS (SELECT r, doc_id, unnest(range(0, CAST(len(h) / 2 AS BIGINT) - 49)) AS p, unnest(list_transform(range(0, CAST(len(h) / 2 AS BIGINT) - 49), lambda p: hash(substr(h, 2 * p + 1, 100)))) AS s FROM d WHERE len(h) >= 100),
 low AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s HAVING count(*) > 1),
 hit AS (SELECT r, p FROM win JOIN low USING (s) WHERE win.doc_id > low.low),
 mark AS (SELECT r, p, p > 50 + lag(p) OVER (PARTITION BY r ORDER BY p) OR lag(p) OVER (PARTITION BY r ORDER BY p) IS NULL AS new FROM hit),
