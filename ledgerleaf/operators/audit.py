@@ -14,7 +14,7 @@ LONGEST_COLOUR = 8
 
 
 def duplicates(rows: DataFrame, block: list[str], value: str, row: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Values that repeat within a block, with their rows in order."""
+    """Values that repeat within a block, with their rows in order; ``ignore`` (NO_SIGNAL for signals) does not count."""
     some = rows.where(F.trim(filled(F.col(value).cast("string"))) != "")
     if ignore:
         some = some.where(~F.upper(F.trim(F.col(value).cast("string"))).isin(*ignore))

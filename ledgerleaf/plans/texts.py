@@ -50,9 +50,6 @@ def coherence_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coherence(cells, []).select("row_idx", "message", "proposal", "pair")
 
 
-LINES = "SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations"
-
-
 @query(f"""
 WITH w AS (SELECT conv_id, turn AS rank, list_distinct({SQL_WORDS}) AS ws FROM conversations),
 a AS (SELECT conv_id, rank, unnest(ws) AS word, len(ws) AS n FROM w WHERE rank % 2 = 0), b AS (SELECT conv_id, rank, unnest(ws) AS word, len(ws) AS n FROM w WHERE rank % 2 = 1),
