@@ -39,7 +39,8 @@ from .common import bounded_batches, drop_caches
 
 CHUNK = 1 << 17  # symbols that are hashed together
 BUCKET_BYTES = 6 << 20  # text of a bucket
-GROUP_BYTES = 2 << 20  # text for each group of anchors
+GROUP_BYTES, LARGEST_GROUP, GROUPS = 2 << 20, 32 << 20, 1 << 12  # text for each group of anchors: least, most, and from how many groups on they grow
+SHORT = 512  # bytes of a message that is not worth compressing
 SAMPLE_DOCS = 1 << 20
 SAMPLE_LEAST = 64
 HOT = 512  # documents of the sample
@@ -176,15 +177,18 @@ def _gather(kind: Kind, texts: list[bytes | Words]) -> list[np.ndarray]:
 
 
 def pack(*things: object) -> bytes:
+    """A message. Arrays cost their bytes and little more, and short messages are not compressed: in a large corpus a message may hold one anchor."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(things, 5))
+    raw = pickle.dumps([(t.dtype.char, t.tobytes()) if isinstance(t, np.ndarray) else t for t in things], 5)
+    return b"-" + raw if len(raw) < SHORT else b"z" + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def unpack(blob: bytes) -> tuple:
+def unpack(blob: bytes) -> list:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    raw = blob[1:] if blob[:1] == b"-" else zstandard.ZstdDecompressor().decompress(blob[1:])
+    return [np.frombuffer(t[1], t[0]) if isinstance(t, tuple) else t for t in pickle.loads(raw)]
 
 
 def _message(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -246,7 +250,7 @@ def measure(kind: Kind, rows: DataFrame, hot: int) -> Sizes:
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(times[keep], pa.int64())], ["key", "n"])
 
     found = some.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).select("key").collect()  # at most the sample's anchors divided by ``hot``
-    return Sizes(max(1, math.ceil(total / BUCKET_BYTES)), max(1, math.ceil(total / GROUP_BYTES)), min(8, max(4, math.ceil((math.log2(total + 2) + 6) / 8))), frozenset(r["key"] % (1 << 64) for r in found))
+    return Sizes(max(1, math.ceil(total / BUCKET_BYTES)), max(1, math.ceil(total / min(max(GROUP_BYTES, total // GROUPS), max(GROUP_BYTES, LARGEST_GROUP)))), min(8, max(4, math.ceil((math.log2(total + 2) + 6) / 8))), frozenset(r["key"] % (1 << 64) for r in found))
 
 
 def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
