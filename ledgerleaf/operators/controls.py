@@ -158,17 +158,21 @@ def place_words(read: DataFrame, seen: DataFrame, cell: list[str]) -> DataFrame:
     a = read.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("rank", light_fold(F.col("word")).alias("w")))).alias("a"))
     b = seen.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("rank", light_fold(F.col("word")).alias("w"), "x"))).alias("b"))
 
-    @F.pandas_udf("array<struct<rank:int,x:double,source:string>>")
+    @F.pandas_udf("array<int>")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            q = [] if q is None else list(q)
-            got = twins([(r["w"], 0.0) for r in p], [(r["w"], r["x"]) for r in q])
-            out.append([{"rank": p[i]["rank"], "x": None if j is None else float(q[j]["x"]), "source": s} for i, j, s in got])
-        return pd.Series(out)
+        # only the words go to Python and one number for each comes back: twice the twin's place, and one more if it is exact
+        code = lambda j, s: -1 if j is None else 2 * j + (s == "exact")
+        return pd.Series([[code(j, s) for _, j, s in twins([(w, 0.0) for w in p], [(w, 0.0) for w in ([] if q is None else q)])] for p, q in zip(x, y)])
+
+    def placed(p: Column, i: Column) -> Column:
+        n = F.get("_c", i)
+        x = F.when(n >= 0, F.get("b", F.floor(n / 2).cast("int"))["x"].cast("double"))
+        return F.struct(p["rank"].cast("int").alias("rank"), x.alias("x"), F.when(n < 0, "none").when(n % 2 == 1, "exact").otherwise("rank").alias("source"))
 
     assert all(c in kinds for c in cell)
-    return a.join(b, cell, "left").withColumn("w", F.explode(run("a", "b"))).select(*cell, "w.*")
+    own = lambda c: F.transform(c, lambda r: r["w"])
+    both = a.join(b, cell, "left").withColumn("_c", run(own("a"), own("b")))
+    return both.select(*cell, F.explode(F.transform("a", placed)).alias("w")).select(*cell, "w.*")
 
 
 def overlaps(boxes: DataFrame, line: list[str], least: float = 0.5) -> DataFrame:

@@ -142,7 +142,7 @@ def word_rebalancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of turns placed by their twins in the next turn of the conversation."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 12)).alias("rank", "word"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("rank", "word"))
     seen = c.select("conv_id", (F.col("turn") - 1).alias("turn"), "rank", "word", (F.col("rank") * 7.0).alias("x"))
     return controls.place_words(c, seen, ["conv_id", "turn"])
 
