@@ -110,8 +110,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def paired_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines of documents as rows of cells, and a second reading that lost, gained and misread some."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text.filled(F.col("text")), "\n")).alias("row_idx", "line"))
-    cells = F.transform(F.slice(text.words(F.col("line")), 1, 4), lambda c: c)
-    ref = d.select("doc_id", "row_idx", cells.alias("cells"))
+    ref = d.select("doc_id", "row_idx", text.words(F.col("line")).alias("cells"))
     conv = ref.where("(doc_id + row_idx) % 11 <> 0").withColumn("cells", F.when(F.col("row_idx") % 5 == 1, F.transform("cells", lambda c: F.translate(c, "OI", "01"))).otherwise(F.col("cells")))
     return ref, conv
 

@@ -18,3 +18,11 @@ def test_word_positions_of_whole_turns(spark, tmp_path):
     first = {r["rank"]: r for r in got if (r["conv_id"], r["turn"]) == (1, 0)}
     assert sorted(first) == list(range(40))
     assert all(first[k]["x"] == (k + 1) * 7.0 and first[k]["source"] == "exact" for k in range(40))
+
+
+def test_row_alignment_of_whole_lines(spark, tmp_path):
+    # row 1 is misread in its sixth word only; row 0 of document 11 is lost in the second reading
+    some = spark.createDataFrame([(1, "a b c d e f\na b c d e O7"), (11, "a b c d e f\na b c d e f g")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in run(spark, tmp_path, "row_alignment_optimal", documents=some).collect()}
+    assert (got[1]["cells"], got[1]["identical"], got[1]["confusion"], got[1]["lone"]) == (12, 11, 1, 0)
+    assert (got[11]["cells"], got[11]["identical"], got[11]["lone"]) == (13, 7, 6)
