@@ -26,3 +26,10 @@ def test_row_alignment_of_whole_lines(spark, tmp_path):
     got = {r["doc_id"]: r for r in run(spark, tmp_path, "row_alignment_optimal", documents=some).collect()}
     assert (got[1]["cells"], got[1]["identical"], got[1]["confusion"], got[1]["lone"]) == (12, 11, 1, 0)
     assert (got[11]["cells"], got[11]["identical"], got[11]["lone"]) == (13, 7, 6)
+
+
+def test_page_number_duplicates_of_all_orders(spark, tmp_path):
+    some = spark.createDataFrame([(1, "1995-01-01"), (5000, "1995-01-01"), (2000, "1996-01-01"), (7000, "1996-01-01"), (7000, "1997-01-01")], "l_orderkey bigint, day string")
+    some = some.selectExpr("l_orderkey", "CAST(day AS timestamp) AS l_shipdate")
+    got = run(spark, tmp_path, "page_number_duplicates", lineitem=some).collect()
+    assert sorted(tuple(r) for r in got) == [("1995-01-01", "1,5000"), ("1996-01-01", "2000,7000")]
