@@ -33,3 +33,9 @@ def test_page_number_duplicates_of_all_orders(spark, tmp_path):
     some = some.selectExpr("l_orderkey", "CAST(day AS timestamp) AS l_shipdate")
     got = run(spark, tmp_path, "page_number_duplicates", lineitem=some).collect()
     assert sorted(tuple(r) for r in got) == [("1995-01-01", "1,5000"), ("1996-01-01", "2000,7000")]
+
+
+def test_text_overlaps_of_all_orders(spark, tmp_path):
+    some = spark.createDataFrame([(k, n, n, 1000.0 * n, 30.0) for k in (1, 2, 3) for n in (1, 2)], "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_extendedprice double, l_quantity double")
+    got = run(spark, tmp_path, "text_overlaps", lineitem=some).collect()
+    assert sorted((r["l_orderkey"], r["a"], r["b"], r["overlap"]) for r in got) == [(k, 1001, 2002, 29.0) for k in (1, 2, 3)]
