@@ -234,15 +234,27 @@ def page_order(label: Column) -> Column:
     return F.struct(key.isNull().alias("none"), key.alias("key"))
 
 
-def closest_values(values: DataFrame, known: DataFrame, cutoff: float = 0.82, reach: int = 3) -> DataFrame:
-    """For each value (col_name, value) the known value most like it by difflib, at ``cutoff`` or more. Only values with a common start or end of ``reach`` signs meet, as any pair that alike does for the words of such columns."""
-    keys = lambda c: F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(c, 1, reach)), F.concat(F.substring(c, -reach, reach), F.lit("$"))))
-    a = values.select("col_name", "value", F.explode(keys(F.upper("value"))).alias("_k"))
-    b = known.select("col_name", F.upper("value").alias("known"), F.explode(keys(F.upper("value"))).alias("_k"))
+def closest_values(values: DataFrame, known: DataFrame, cutoff: float = 0.82) -> DataFrame:
+    """For each value (col_name, value) the known value most like it by difflib, at ``cutoff`` or more.
+
+    Only pairs that can reach the cutoff meet. With s signs in both, m of them matched and s - 2m not, there are at
+    most s - 2m + 1 runs of matched signs once both have a mark at either end, so they share 3m - s + 1 pairs of
+    neighbours at least; a ratio of c makes that (1.5c - 1)s + 1, which is one or more for any c over 2/3. At lower
+    cutoffs all values of a column meet.
+    """
+    def grams(f: DataFrame, name: str) -> DataFrame:
+        f = f.select("col_name", "value", F.upper("value").alias(name)).distinct().withColumn("_m", F.concat(F.lit("\x02"), name, F.lit("\x03")))
+        own = F.transform(F.sequence(F.lit(1), F.length("_m") - 1), lambda i: F.substring(F.col("_m"), i, F.lit(2))) if cutoff > 2 / 3 else F.array(F.lit(""))
+        each = f.where(F.col(name).isNotNull()).select("col_name", "value", name, F.explode(own).alias("_k"))
+        return each.groupBy("col_name", "value", name, "_k").agg(F.count("*").alias(f"_{name}"))
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([ratio(p, q) for p, q in zip(y, x)])
 
-    scored = a.join(b, ["col_name", "_k"]).select("col_name", "value", "known").distinct().withColumn("ratio", alike(F.upper("value"), "known")).where(F.col("ratio") >= cutoff)
+    a, b = grams(values, "own"), grams(known.select("col_name", F.upper("value").alias("value")), "known").drop("value")
+    signs = F.length("own") + F.length("known")
+    met = a.join(b, ["col_name", "_k"]).groupBy("col_name", "value", "own", "known").agg(F.sum(F.least("_own", "_known")).alias("_n"))
+    near = met.where((F.col("_n") >= (1.5 * cutoff - 1) * signs + 1 - 1e-6) & (2 * F.least(F.length("own"), F.length("known")) >= cutoff * signs - 1e-6))
+    scored = near.withColumn("ratio", alike("own", "known")).where(F.col("ratio") >= cutoff)
     return scored.groupBy("col_name", "value").agg(F.max(F.struct("ratio", "known")).alias("b")).select("col_name", "value", "b.known", "b.ratio")

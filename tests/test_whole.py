@@ -39,3 +39,17 @@ def test_text_overlaps_of_all_orders(spark, tmp_path):
     some = spark.createDataFrame([(k, n, n, 1000.0 * n, 30.0) for k in (1, 2, 3) for n in (1, 2)], "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_extendedprice double, l_quantity double")
     got = run(spark, tmp_path, "text_overlaps", lineitem=some).collect()
     assert sorted((r["l_orderkey"], r["a"], r["b"], r["overlap"]) for r in got) == [(k, 1001, 2002, 29.0) for k in (1, 2, 3)]
+
+
+def test_closest_values_against_brute_force(spark):
+    from ledgerleaf.functions.similarity import ratio
+    from ledgerleaf.operators import controls
+
+    known = ["LAVENDER METALLIC", "LAVENDER METAL", "ROSE LACE", "AB", "ABCDEFGHIJK", "XXYXXYXXYXXY", "PEACH PUFF", ""]
+    wrong = ["1AVENDER METALLI0", "0OSE LAC3", "AB", "BA", "bcdefghij", "YXXYXXYXXYXX", "PE4CH PUF", "QXQXQXQXQ", "", "1EACH PUF1"]
+    wrong += [k[:i] + "#" + k[i + 1 : j] + "#" + k[j + 1 :] for k in known for i, j in ((0, len(k) - 1), (1, len(k) - 2), (2, len(k) // 2)) if 0 <= i < j]
+    frame = lambda l: spark.createDataFrame([("c", x) for x in dict.fromkeys(l)], "col_name string, value string")
+    for cutoff in (0.82, 0.7, 0.5):
+        want = {w: max((ratio(k, w.upper()), k) for k in known) for w in wrong}
+        got = {r["value"]: (r["ratio"], r["known"]) for r in controls.closest_values(frame(wrong), frame(known), cutoff).collect()}
+        assert got == {w: b for w, b in want.items() if b[0] >= cutoff}
