@@ -1,23 +1,26 @@
 """HTML extraction by minimum-cut labelling.
 
-A page is read into blocks (runs of text between block-level tags). A fixed linear classifier over
-a block's containers, links, length and punctuation says how likely it is content; its two costs are
-the capacities of the block's edges to the terminals. Blocks next to each other in page order
-and blocks that follow each other under the same parent are joined by smoothness edges whose
-capacity falls with the distance of their places in the document tree. Maximum flow then
-separates content from boilerplate at the least total cost.
+A page is read into blocks (runs of text between block-level tags). A fixed linear classifier gives each block the
+logarithm of its odds of being content: from its words, links, punctuation and tag, and from graded evidence of the
+containers around it (names and tags of different reliability add up; no class name decides alone). The two
+costs are the capacities of the block's edges to the terminals, so short blocks are left uncertain.
+Blocks next to each other in page order and blocks that follow each other under the same parent are joined
+by smoothness edges whose capacity falls with the distance of their places in the document tree. Maximum
+flow then separates content from boilerplate at the least total cost: uncertain blocks take the side
+of the blocks around them.
 
 A block whose terminal capacity is at least the sum of its smoothness edges keeps its terminal's
 label in some minimum cut, so such blocks are labelled first and their edges folded into their
 neighbours' terminals; the flow runs over what is left.
 
-Scripts, styles, templates, comments of the markup, hidden elements and form controls are never text. Character
+Scripts, styles, templates, comments of the markup, hidden elements and form controls are never text; where such an
+element is not closed, it ends at the next block-level tag (a script or style at the page's end). Character
 references are decoded; white space inside a block becomes one space, ends are trimmed, blocks
 are joined by one space in page order.
 
 Defined results: a null or empty page, or one without content, gives an empty text; repeated rows
 each give a row; a null page_id or url stays null; an empty table gives no rows; other columns
-are not read.
+are not read; a very long page is read whole.
 """
 
 from __future__ import annotations
@@ -37,28 +40,33 @@ TOKEN = re.compile(r"""<!--(?:.*?(?:-->|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object select button canvas audio video".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose text is no text of the page; the first ones hold anything up to their own closing tag.
+RAW_TAGS = frozenset("script style".split())
+SKIPPED_TAGS = RAW_TAGS | frozenset("noscript template textarea title iframe noembed noframes xmp svg select button option optgroup canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES_P = BLOCK_TAGS - {"button", "option", "optgroup", "select"}
-BOILER_TAGS = frozenset("nav aside footer form menu dialog fieldset search".split())
+NEXT_BLOCK = re.compile(r"</?(?:" + "|".join(sorted(BLOCK_TAGS)) + r")(?=[\s/>])", re.I)
+#: Evidence of containers, in units of cost, by tag, role, and parts of class and id names.
+TAG_EVIDENCE = {"nav": -4.0, "aside": -4.0, "footer": -4.0, "form": -4.0, "menu": -4.0, "dialog": -4.0, "fieldset": -4.0, "search": -4.0, "article": 1.0, "main": 1.0}
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-#: Parts of class and id names.
-BOILER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot header masthead topbar sidebar side aside widget related recommended recommendations comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social pagination pager copyright legal disclaimer toolbar skip".split())
+SURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead sidebar comment comments commentlist disqus respond replies cookie cookies consent gdpr popup modal newsletter subscribe subscription login signup pagination".split())
+VAGUE_NAMES = frozenset("banner foot header topbar side aside widget related recommended recommendations discussion reply notice notices notification alert overlay search form share sharing social pager copyright legal disclaimer toolbar skip".split())
 CONTENT_NAMES = frozenset("article articlebody content main post entry story body text prose page".split())
-WEAK_CONTENT = frozenset("content page text body main".split())
+SURE, VAGUE, ROLE, NAMED_CONTENT = -4.5, -2.5, -4.0, 0.75
+LEAST_EVIDENCE, MOST_EVIDENCE = -7.0, 1.75
 BOILER_TEXT = re.compile(r"\b(?:cookies?|all rights reserved|subscribe|sign (?:up|in)|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored|newsletter)\b|©", re.I)
 
 #: Classifier weights, in units of cost.
-STRONG, IN_ARTICLE, IN_CONTENT, PER_WORD, MOST_WORDS, PUNCTUATION, HEADING, LINKS, PHRASE, BIAS = 24.0, 8.0, 3.0, 0.12, 4.0, 1.0, 2.5, 5.0, 2.5, -1.5
-NEXT, SIBLING = 1.5, 2.0
+BIAS, PER_WORD, MOST_WORDS, PUNCTUATION, PARAGRAPH, HEADING, LINKS, PHRASE = -2.0, 0.1, 3.5, 0.75, 0.5, 2.2, 4.0, 2.0
+#: Smoothness between neighbours in page order and between followers under one parent, before their distance divides it.
+NEXT, SIBLING = 1.5, 5.0
 
 
 class Block:
-    __slots__ = ("text", "link", "path", "parent", "kind", "tag")
+    __slots__ = ("text", "link", "path", "evidence", "tag")
 
-    def __init__(self, text: str, link: int, path: tuple[int, ...], kind: tuple[bool, bool, bool], tag: str):
-        self.text, self.link, self.path, self.kind, self.tag = text, link, path, kind, tag
+    def __init__(self, text: str, link: int, path: tuple[int, ...], evidence: float, tag: str):
+        self.text, self.link, self.path, self.evidence, self.tag = text, link, path, evidence, tag
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool]:
@@ -78,12 +86,35 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
     return parts, role, hidden
 
 
+def container_evidence(before: float, tag: str, parts: set[str], role: str) -> float:
+    """What the containers down to this one say: boilerplate inside content ends what spoke for content, content inside boilerplate speaks half as loud."""
+    own = TAG_EVIDENCE.get(tag, 0.0)
+    if tag == "header" and before <= 0:  # a page's header; an article's own holds its title
+        own = TAG_EVIDENCE["nav"]
+    if role in BOILER_ROLES:
+        own += ROLE
+    elif role in ("main", "article"):
+        own += TAG_EVIDENCE["main"]
+    good = bool(parts & CONTENT_NAMES)
+    if tag not in ("html", "body"):
+        if parts & SURE_NAMES:
+            own += VAGUE if good else SURE
+        elif parts & VAGUE_NAMES:
+            own += 0.0 if good else VAGUE
+        elif good:
+            own += NAMED_CONTENT
+    total = min(before, 0.0) + own if own < 0 else before + own if before >= 0 else before + own / 2
+    return max(LEAST_EVIDENCE, min(MOST_EVIDENCE, total))
+
+
 def read_blocks(page: str) -> list[Block]:
-    """The non-empty text blocks of a page, in order. kind: (boilerplate, article, weaker content) of the containers."""
+    """The non-empty text blocks of a page, in order, with the evidence of their containers."""
     out: list[Block] = []
-    stack: list[tuple[str, int, tuple[bool, bool, bool], bool]] = [("", 0, (False, False, False), False)]  # tag, number, kind, hidden
+    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, evidence, hidden
     pieces: list[str] = []
+    never_closed: set[str] = set()
     number = link = links_open = at = 0
+    n = len(page)
 
     def flush() -> None:
         nonlocal link
@@ -101,7 +132,18 @@ def read_blocks(page: str) -> list[Block]:
             if links_open:
                 link += len(text)
 
-    n = len(page)
+    def past(tag: str) -> int:
+        """Where the text of an element that is to be skipped ends."""
+        if tag not in never_closed:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end:
+                return end.end()
+            never_closed.add(tag)
+        if tag in RAW_TAGS:
+            return n
+        end = NEXT_BLOCK.search(page, at)
+        return end.start() if end else n
+
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -123,11 +165,11 @@ def read_blocks(page: str) -> list[Block]:
                         del stack[k:]
                         break
             continue
-        if tag in RAW_TAGS and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            if tag in ("button", "select"):
-                flush()
+        if tag in SKIPPED_TAGS:
+            if not rest.endswith("/"):
+                at = past(tag)
+                if tag in ("button", "select", "textarea"):
+                    flush()
             continue
         if tag == "br":
             pieces.append(" ")
@@ -136,53 +178,35 @@ def read_blocks(page: str) -> list[Block]:
             links_open = 1  # links do not nest
             continue
         if tag not in BLOCK_TAGS:
-            if rest and "hidden" in rest or "none" in rest:
-                if _names(rest)[2] and tag not in VOID_TAGS:  # a hidden inline element: skip to its end
-                    end = page.find(f"</{tag}", at)
-                    at = end if end >= 0 else at
+            if rest and ("hidden" in rest.lower() or "none" in rest.lower()) and tag not in VOID_TAGS and _names(rest)[2]:
+                at = past(tag)
             continue
         flush()
         links_open = 0 if tag in ("article", "section", "main", "nav", "footer", "aside", "div") and links_open else links_open
-        if tag in CLOSES_P and stack[-1][0] == "p":
+        if stack[-1][0] == "p":
             stack.pop()
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
+        if tag in ("li", "dd", "dt", "td", "th", "tr"):
             same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, (tag,))
             while len(stack) > 1 and stack[-1][0] in same:
                 stack.pop()
         if tag in VOID_TAGS:
             continue
-        boiler, article, content = stack[-1][2]
-        hidden = stack[-1][3]
-        if rest.strip(" /"):
-            parts, role, hides = _names(rest)
-            hidden = hidden or hides
-            good, bad = bool(parts & CONTENT_NAMES), bool(parts & BOILER_NAMES) or role in BOILER_ROLES
-            if bad and not (tag in ("article", "main", "body", "html") or good and tag in ("h1", "h2", "p")):
-                boiler = True
-            elif good and not boiler:
-                article, content = article or bool(parts & (CONTENT_NAMES - WEAK_CONTENT)), True
-            if role in ("main", "article"):
-                article = True
-        if tag in BOILER_TAGS or tag == "header" and not article:
-            boiler = True
-        elif tag in ("article", "main") and not boiler:
-            article = True
+        parts, role, hides = _names(rest) if rest.strip(" /") else (set(), "", False)
         number += 1
-        stack.append((tag, number, (boiler, article, content), hidden))
+        stack.append((tag, number, container_evidence(stack[-1][2], tag, parts, role), stack[-1][3] or hides))
     flush()
     return out
 
 
 def leaning(b: Block) -> float:
-    """How much cheaper the block is as content than as boilerplate."""
-    boiler, article, content = b.kind
+    """How much cheaper the block is as content than as boilerplate: the logarithm of its odds."""
     words = b.text.count(" ") + 1
     s = BIAS + min(MOST_WORDS, PER_WORD * words) - LINKS * b.link / len(b.text) - PHRASE * bool(words < 40 and BOILER_TEXT.search(b.text))
     if b.tag in ("h1", "h2", "h3"):
         s += HEADING
     else:
-        s += (PUNCTUATION if b.text[-1] in ".!?…:;,\"”»" else -PUNCTUATION / 2) + PUNCTUATION * (b.tag in ("p", "blockquote", "pre"))
-    return s - STRONG * boiler + (IN_ARTICLE * article or IN_CONTENT * content) * (not boiler)
+        s += (PUNCTUATION if b.text[-1] in ".!?…:;,\"”»" else -PUNCTUATION / 2) + PARAGRAPH * (b.tag in ("p", "blockquote", "pre"))
+    return s + b.evidence
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -197,7 +221,7 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
         for i, w in pairs.items():
             a = blocks[i].path
             common = next((k for k, (x, y) in enumerate(zip(a, b.path)) if x != y), min(len(a), len(b.path)))
-            edges.append((i, j, w / (1 + len(a) + len(b.path) - 2 * common)))
+            edges.append((i, j, w / (1 + (len(a) + len(b.path) - 2 * common) ** 2 / 2)))
         last[parent] = j
     return edges
 
@@ -276,12 +300,14 @@ def max_flow(cap: list[dict[int, float]], source: int, sink: int) -> set[int]:
                 level[u] = -1
 
 
+def labels(blocks: list[Block]) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
+    return min_cut([leaning(b) for b in blocks], smoothness(blocks))
+
+
 def main_text(page: str) -> str:
     blocks = read_blocks(page)
-    if not blocks:
-        return ""
-    keep = min_cut([leaning(b) for b in blocks], smoothness(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep) if k)
+    return " ".join(b.text for b, k in zip(blocks, labels(blocks)) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
