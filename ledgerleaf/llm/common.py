@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import ship
 
-#: Bytes of text that one Arrow batch hands to Python at most (a longer single text travels alone).
+#: Bytes and rows of text that an operator works on at once (a longer single text stands alone).
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2_000
 
@@ -21,14 +24,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what Spark hands to a Python worker at once, by rows and by bytes, and see that the worker knows this package."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    except Exception:  # the key is not known to every Spark 4
-        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch as Spark sends it, in slices of at most BATCH_ROWS rows and BATCH_BYTES bytes (a longer single row is a slice of its own). Session settings stay as they are."""
+    sizes = np.zeros(len(batch), np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(batch):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, min(BATCH_ROWS, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 #: What modules keep in a worker between tasks, by module: how to drop it.
@@ -47,38 +55,78 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches(keeps)
-        yield from fn(batches)
+        yield from fn(piece for batch in batches for piece in pieces(batch))
 
-    bounded_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or something longer that no column is called."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a cluster names it in spark.checkpoint.dir."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:  # only where nothing is set, as in tests
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
+        at = "file://" + tempfile.mkdtemp(prefix="shared-")  # one machine: its own folder is shared
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Tables made in each open ``scratch``, the innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
 def table_once(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: its lineage ends there and a lost executor costs nothing."""
+    """Write ``df`` into the shared folder and read it back: its lineage ends there and a lost executor costs nothing. The table goes with its ``scratch``, or else with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    at, files = _place(out)
+    files.deleteOnExit(at)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
-def forget(table: DataFrame) -> None:
-    """Delete a table of ``table_once`` that nothing will read again."""
+def _place(table: DataFrame) -> tuple:
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table._table)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of ``table_once`` that nothing will read again."""
+    path, files = _place(table)
+    files.delete(path, True)
+    files.cancelDeleteOnExit(path)
+
+
+@contextmanager
+def scratch(*, keep: list[DataFrame] | None = None) -> Iterator[None]:
+    """Tables made inside are deleted at the end, but for those that were put into ``keep``, which the next outer ``scratch`` takes over."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        made = _SCOPES.pop()
+        stay = {t._table for t in keep or []}
+        for t in made:
+            if t._table not in stay:
+                forget(t)
+            elif _SCOPES:
+                _SCOPES[-1].append(t)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,33 +17,40 @@ a stretch, which travels as one entry.
    smaller document?
 4. Each bucket removes what it was told and gives the results.
 
-Anchors that stand in very many documents are found on a sample of ids (SAMPLE_DOCS at most; it balances load and
-changes no result). Their windows travel one by one under their own hash instead of under the anchor's.
-
-Rows with a null id are left whole and remove nothing. Equal ids do not remove from each other.
+The prefix that an entry travels under is as long as its group needs. Anchors whose stretches would outgrow a
+group are found on a bounded sample of documents (it balances load and changes no result). A stretch at such an
+anchor is cut in two: its windows that reach half a window's rest beyond the anchor travel under the anchor
+and what follows it, the others under the anchor and what stands before it. Where even these longer prefixes
+are too common, windows travel one by one under their own hash.
+
+Rows with a null id are left whole and remove nothing. Equal ids do not remove from each other. Equal rows (in id
+and text) are worked on once in each bucket, however often they are repeated, and give as many rows.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_caches
+from .common import map_arrow
 
 CHUNK = 1 << 17  # symbols that are hashed together
 BUCKET_BYTES = 6 << 20  # text of a bucket
 GROUP_BYTES, LARGEST_GROUP, GROUPS = 2 << 20, 32 << 20, 1 << 12  # text for each group of anchors: least, most, and from how many groups on they grow
 SHORT = 512  # bytes of a message that is not worth compressing
-SAMPLE_DOCS = 1 << 20
-SAMPLE_LEAST = 64
-HOT = 512  # documents of the sample
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LEAST = 1 << 20, 2 << 30, 64  # documents and text of the sample at most, and one document of how many at most
+HOT, LEAST_HOT = 512, 4  # documents of the sample that make an anchor hot: at most, at least
+MOST_HOT = 1 << 20  # hot anchors that tasks are told of, those of most documents; it balances load and changes no result
 GOLD = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 20) - 1)
 MESSAGE = "to int, bucket int, blob binary"
@@ -225,7 +232,8 @@ class Sizes:
     buckets: int
     groups: int
     width: int  # bytes of an anchor hash that a question carries
-    hot: frozenset[int]
+    hot: frozenset[int]  # anchors whose stretches travel under longer prefixes
+    hotter: frozenset[int] = frozenset()  # longer prefixes whose windows travel one by one
 
     def short(self, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(64 - 8 * self.width)
@@ -235,38 +243,75 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def measure(kind: Kind, rows: DataFrame, hot: int) -> Sizes:
-    """Numbers of buckets and groups from the table's bytes, and the anchors that many documents of a bounded sample hold."""
+def measure(kind: Kind, rows: DataFrame, hot: int | None) -> Sizes:
+    """Numbers of buckets and groups from the table's bytes, and the anchors of a bounded sample whose stretches would outgrow a group.
+
+    Every anchor of the sample is counted, whatever batch or partition it stands in. ``hot`` sets from how many
+    documents of the sample on an anchor counts as one that outgrows its group; by default it follows from the sizes.
+    """
     n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     total = total or 0
-    some = rows.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(SAMPLE_LEAST, math.ceil(n / SAMPLE_DOCS)) if hot > 1 else 1)) == 0)
+    share = max(SAMPLE_LEAST, math.ceil(n / SAMPLE_DOCS), math.ceil(total / SAMPLE_BYTES)) if hot is None else 1
+    group = min(max(GROUP_BYTES, total // GROUPS), max(GROUP_BYTES, LARGEST_GROUP))
+    least_docs = max(LEAST_HOT, min(HOT, LARGEST_GROUP // (share * 2 * kind.window * (8 if kind.words else 1)))) if hot is None else hot
+    some = rows.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, _, _, _, key = _gather(kind, [kind.symbols(t) for t in batch.column(0).to_pylist()])
-            pair = np.unique(np.stack([key, doc.astype(np.uint64)]), axis=1)[0]
-            keys, times = np.unique(pair, return_counts=True)
-            keep = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(times[keep], pa.int64())], ["key", "n"])
+    def common(keys_of: Callable[[list[bytes] | list[Words]], tuple[np.ndarray, np.ndarray]]) -> frozenset[int]:
+        """The keys that ``least_docs`` documents of the sample hold, whatever batches and partitions they stand in."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, key = keys_of([kind.symbols(t) for t in batch.column(0).to_pylist()])
+                pair = np.unique(np.stack([key, doc.astype(np.uint64)]), axis=1)[0]
+                keys, times = np.unique(pair, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], ["key", "n"])
+
+        counts = map_arrow(some.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
+        return frozenset(r["key"] % (1 << 64) for r in counts.orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key").collect())
 
-    found = some.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).select("key").collect()  # at most the sample's anchors divided by ``hot``
-    return Sizes(max(1, math.ceil(total / BUCKET_BYTES)), max(1, math.ceil(total / min(max(GROUP_BYTES, total // GROUPS), max(GROUP_BYTES, LARGEST_GROUP)))), min(8, max(4, math.ceil((math.log2(total + 2) + 6) / 8))), frozenset(r["key"] % (1 << 64) for r in found))
+    def anchors(texts: list[bytes] | list[Words]) -> tuple[np.ndarray, np.ndarray]:
+        doc, _, _, _, key = _gather(kind, texts)
+        return doc, key
 
+    found = common(anchors)
+    known = np.array(sorted(found), np.uint64)
 
-def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    def longer(texts: list[bytes] | list[Words]) -> tuple[np.ndarray, np.ndarray]:
+        doc, i0, i1, a, key = _gather(kind, texts)
+        take = _among(known, key)
+        keys = [(k, x) for k, s, t, p in zip(doc[take].tolist(), i0[take].tolist(), i1[take].tolist(), a[take].tolist()) for x, _, _ in halves(kind, texts[k], s, t, p)]
+        return np.array([k for k, _ in keys], np.int64), np.array([x for _, x in keys], np.uint64)
+
+    return Sizes(max(1, math.ceil(total / BUCKET_BYTES)), max(1, math.ceil(total / group)), min(8, max(4, math.ceil((math.log2(total + 2) + 6) / 8))), found, common(longer) if found else found)
+
+
+def halves(kind: Kind, some: bytes | Words, s: int, t: int, p: int) -> Iterator[tuple[int, int, int]]:
+    """Of the windows that start at s..t around the anchor at p: hash of a longer prefix, first and last window of each half that is not empty."""
+    from xxhash import xxh64_intdigest
+
+    top = kind.window - kind.gram
+    half = top // 2
+    if (x := max(s, p - half)) <= t:  # all reach at least top - half symbols beyond the anchor
+        yield xxh64_intdigest(kind.cut(some, p, p + kind.gram + top - half), 1), x, t
+    if s <= (x := min(t, p - half - 1)):  # all begin at least half + 1 symbols before it
+        yield xxh64_intdigest(kind.cut(some, p - half - 1, p + kind.gram), 2), s, x
+
+
+def remove_repeats(kind: Kind, solver: Callable[[], "Solver"], docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n (symbols), runs (removed symbols as start, end, start, end...), kept (what is left, as bytes; words joined by one space)."""
-    bounded_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     sizes = measure(kind, rows, hot)
     addressed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sizes.buckets)).cast("int").alias("bucket"), "doc_id", "text")
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(b, pack(batch.column(1).take(pa.array(at)).to_pylist(), batch.column(2).take(pa.array(at)).to_pylist())) for b, at in _groups(batch.column(0).to_numpy())]
+            out = []
+            for b, at in _groups(batch.column(0).to_numpy()):
+                own = Counter(zip(batch.column(1).take(pa.array(at)).to_pylist(), batch.column(2).take(pa.array(at)).to_pylist()))
+                out.append((b, pack([i for i, _ in own], [t for _, t in own], list(own.values()))))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "docs"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for batch in batches:
             bucket, known = batch.column(0).to_numpy(), batch.column(1).is_valid()
             doc, _, _, _, key = _gather(kind, [kind.symbols(t) if k else kind.symbols("") for t, k in zip(batch.column(2).to_pylist(), known.to_pylist())])
@@ -308,28 +353,28 @@ def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], d
         return pa.Table.from_batches([_message(out)])
 
     def deal(docs_of: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = bucket_rows(docs_of)
+        ids, texts, _ = bucket_rows(docs_of)
         shared = [_widen(unpack(x)[0], sizes.width) for x in told["blob"].to_pylist()]
         if not shared or not ids:
             return pa.Table.from_batches([_message([])])
         bucket = docs_of["bucket"][0].as_py()
         return pa.Table.from_batches([_message(cut_entries(kind, sizes, bucket, ids, texts, np.unique(np.concatenate(shared))))])
 
-    def settle(table: pa.Table) -> pa.Table:
-        out, payloads = [], []
-        for b, blob in zip(table["bucket"].to_pylist(), table["blob"].to_pylist()):
-            if b >= 0:
-                out.append((0, b, blob))
-            else:
-                payloads.append(unpack(blob))
-        if payloads:
-            e = Entries(kind, payloads)
-            if len(e.doc):
-                out += e.removals(solve(kind, e))
-        return pa.Table.from_batches([_message(out)])
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = solver()
+        for batch in batches:
+            passed = []
+            for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist()):
+                if b >= 0:
+                    passed.append((0, b, blob))
+                else:
+                    group.add(blob)
+            yield _message(passed)
+        for some in group.removals():
+            yield _message(some)
 
     def finish(docs_of: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = bucket_rows(docs_of)
+        ids, texts, copies = bucket_rows(docs_of)
         cut = [unpack(x) for x in told["blob"].to_pylist()]
         idx, s, e = (np.concatenate([c[k] for c in cut]) if cut else np.zeros(0, np.int64) for k in range(3))
         order = np.lexsort((s, idx))
@@ -349,25 +394,31 @@ def remove_repeats(kind: Kind, solve: Callable[[Kind, "Entries"], np.ndarray], d
             n.append(len(some))
             runs.append(flat)
             kept.append((b" " if kind.words else b"").join(left))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "n", "runs", "kept"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(copies, pa.int32())], names=["doc_id", "n", "runs", "kept", "copies"])
 
-    carried = addressed.mapInArrow(carry, "bucket int, docs binary")
-    answered = addressed.mapInArrow(ask, MESSAGE).groupBy("to").applyInArrow(answer, MESSAGE)
+    carried = map_arrow(addressed, carry, "bucket int, docs binary")
+    answered = map_arrow(addressed, ask, MESSAGE).groupBy("to").applyInArrow(answer, MESSAGE)
     dealt = carried.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(deal, MESSAGE)
     settled = dealt.groupBy("to").applyInArrow(settle, MESSAGE)
-    return carried.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInArrow(finish, "doc_id long, n long, runs array<long>, kept binary")
+    done = carried.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInArrow(finish, "doc_id long, n long, runs array<long>, kept binary, copies int")
+    return done.select("doc_id", "n", "runs", "kept", F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("one")).drop("one")
 
 
-def bucket_rows(table: pa.Table) -> tuple[list[int | None], list[str]]:
-    """Ids and texts of a bucket in an order that does not depend on how they arrived."""
-    rows = [r for blob in table["docs"].to_pylist() for r in zip(*unpack(blob))]
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return [r[0] for r in rows], [r[1] for r in rows]
+def bucket_rows(table: pa.Table) -> tuple[list[int | None], list[str], list[int]]:
+    """Ids and texts of a bucket, each with its number of copies, in an order that does not depend on how they arrived."""
+    rows: Counter[tuple[int | None, str]] = Counter()
+    for blob in table["docs"].to_pylist():
+        for i, t, n in zip(*unpack(blob)):
+            rows[i, t] += n
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return [i for i, _ in order], [t for _, t in order], [rows[r] for r in order]
 
 
 def cut_entries(kind: Kind, sizes: Sizes, bucket: int, ids: list[int | None], texts: list[str], shared: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Messages of a bucket: what is repeated within it, and the stretches (folded, smallest document) for the groups."""
     symbols = [kind.symbols(t) if i is not None else kind.symbols("") for i, t in zip(ids, texts)]
+    from xxhash import xxh64_intdigest
+
     hot = np.array(sorted(sizes.hot), np.uint64)
     repeated: list[tuple[int, int, int]] = []
     best: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
@@ -388,13 +439,12 @@ def cut_entries(kind: Kind, sizes: Sizes, bucket: int, ids: list[int | None], te
     for doc, i0, i1, a, key in stretches(kind, symbols):
         take = _among(shared, sizes.short(key))
         for k, s, t, p, h, many in zip(doc[take].tolist(), i0[take].tolist(), i1[take].tolist(), a[take].tolist(), key[take].tolist(), _among(hot, key[take]).tolist()):
-            if many:
-                from xxhash import xxh64_intdigest
-
-                for x in range(s, t + 1):
-                    offer(xxh64_intdigest(kind.cut(symbols[k], x, x + kind.window)), 0, k, x, x + kind.window)
-            else:
-                offer(h, p - s, k, s, t + kind.window)
+            for prefix, x0, x1 in halves(kind, symbols[k], s, t, p) if many else ((h, s, t),):
+                if prefix in sizes.hotter:
+                    for x in range(x0, x1 + 1):
+                        offer(xxh64_intdigest(kind.cut(symbols[k], x, x + kind.window)), 0, k, x, x + kind.window)
+                else:
+                    offer(prefix, p - x0, k, x0, x1 + kind.window)
     out = []
     if repeated:
         idx, s, e = (np.array(c, np.int64) for c in zip(*repeated))
@@ -423,8 +473,46 @@ def cut_entries(kind: Kind, sizes: Sizes, bucket: int, ids: list[int | None], te
     return out
 
 
+class Solver(Protocol):
+    """Takes the entries of one group, message by message, and tells which windows of them an earlier document holds."""
+
+    def add(self, blob: bytes) -> None: ...
+
+    def removals(self) -> Iterator[list[tuple[int, int, bytes]]]: ...
+
+
+class Spool:
+    """Things kept in order: in memory up to ``most`` bytes, beyond that in a file that goes with the task."""
+
+    def __init__(self, most: int):
+        self.most, self.bytes, self.held, self.file = most, 0, [], None
+
+    def put(self, thing: object, size: int) -> None:
+        self.held.append(thing)
+        self.bytes += size
+        if self.bytes > self.most:
+            self.file = self.file or tempfile.TemporaryFile()
+            for x in self.held:
+                pickle.dump(x, self.file, 5)
+            self.held, self.bytes = [], 0
+
+    def __iter__(self) -> Iterator:
+        if self.file:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield pickle.load(self.file)
+            self.file.seek(end)
+        yield from self.held
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+        self.held = []
+
+
 class Entries:
-    """Stretches of one group of anchors, from all buckets."""
+    """Stretches of one group of anchors, of some or all buckets."""
 
     def __init__(self, kind: Kind, payloads: list[tuple]):
         self.kind = kind
@@ -441,7 +529,7 @@ class Entries:
             # words of an entry: its bytes hold one space fewer
             self.size = np.concatenate([_word_counts(p[3], p[7]) for p in payloads])
         else:
-            self.flat = np.frombuffer(b"".join(p[7] for p in payloads), np.uint8).astype(np.int32) + 1
+            self.flat = np.frombuffer(b"".join(p[7] for p in payloads), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
             self.size = np.concatenate([p[3] for p in payloads]).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
 

@@ -20,7 +20,10 @@ Words: A-Z lower-cased, split at ASCII white space; shingles of three words, rep
 
 Defined results: a text of one or two words has one shingle; a null or wordless text has
 fingerprint zero and links like any other; rows with equal ids each give a row; a null doc_id
-never names a component but links like any other; an empty table gives no rows.
+never names a component but links like any other; an empty table gives no rows; other columns
+are not read. ``keep_one`` keeps rows without an id, and of each component one other row: that of its smallest
+id; among texts of the component under that one id that of the smallest hash, and among rows that are
+equal in both the one of the smallest hash of all columns.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, map_arrow, table_once
+from .common import forget, fresh, id_text, map_arrow, scratch, table_once
 
 SHINGLE = 3
 SEED = 42
@@ -64,14 +67,20 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (signed 64-bit) of each row of ``docs``."""
+def _with_fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows`` with fp (signed 64-bit) in place of their last column, text."""
+    kept = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([fingerprint(t) for t in batch.columns[-1].to_pylist()], pa.int64())], [*(f.name for f in kept), "fp"])
+
+    return map_arrow(rows, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", fp long")
+
 
-    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp (signed 64-bit) of each row of ``docs``."""
+    return _with_fingerprints(id_text(docs, id_col, text_col))
 
 
 def layout(blocks: int) -> list[tuple[int, int]]:
@@ -111,7 +120,7 @@ def links(nodes: DataFrame, blocks: int | None = None) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node of ``edges`` (a, b) that is not the smallest of its component."""
+    """node, root for each node of ``edges`` (a, b) that is not the smallest of its component: a table of ``table_once``."""
     edges = table_once(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(df: DataFrame) -> tuple:
@@ -130,26 +139,45 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._table = edges._table
+    return out
+
+
+def rooted(nodes: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` (fp, no copies, and others) with the root of each one's component."""
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        roots = components(links(nodes))
+        keep.append(roots)
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     found = table_once(fingerprints(docs, id_col, text_col))
-    nodes = table_once(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = table_once(components(links(nodes)))
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    placed = rooted(table_once(found.groupBy("fp").agg(F.min("doc_id").alias("low"))))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
     return found.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, that of its smallest id, with all its columns; rows without an id stay."""
+    """One row of ``docs`` for each component, with all its columns, and the rows without an id; see above for which one."""
     from pyspark.sql import Window
 
-    first = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    some = docs.join(first, F.col(id_col).cast("long") == F.col("_first"), "left_semi")
-    place = "_place_" + "_".join(docs.columns)
-    one = some.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where(F.col(place) == 1).drop(place)
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        nodes = table_once(_with_fingerprints(rows).groupBy("fp").agg(low.alias("low")))
+        first = table_once(rooted(nodes).groupBy("root").agg(F.min("low").alias("low")).where("low IS NOT NULL").select("low.*"))
+        keep.append(first)
+    own_id, own_mark = fresh(docs.columns, "_own_id"), fresh(docs.columns, "_own_mark")
+    one_id, one_mark, place = fresh(docs.columns, "_one_id"), fresh(docs.columns, "_one_mark"), fresh(docs.columns, "_place")
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_mark: mark})
+    some = marked.join(first.toDF(one_id, one_mark), (F.col(own_id) == F.col(one_id)) & (F.col(own_mark) == F.col(one_mark)), "left_semi")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = some.withColumn(place, F.row_number().over(Window.partitionBy(own_id, own_mark).orderBy(F.xxhash64(*hashed)))).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     return one.unionByName(docs.where(F.col(id_col).isNull()))

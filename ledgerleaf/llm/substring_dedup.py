@@ -1,9 +1,10 @@
 """Substring deduplication over prefix-partitioned suffix trees.
 
 Suffixes are the places of the anchors of ``repeats``: every window of 13 words starts at most
-nine words before one. They are split by prefix: by the anchor's four words, or by all thirteen where
-so many documents hold the anchor that its group would outgrow memory. Within a group the trees are grown level
-by level from the prefix on, to the right for what follows the anchor and to the left for what
+nine words before one. They are split by prefixes of variable length into groups that fit in memory: the
+anchor's four words; nine words, to the right or to the left of the anchor, where the group under four would
+outgrow its bound; all thirteen where that one would too. Within a group the trees are grown level
+by level from the anchor on, to the right for what follows it and to the left for what
 stands before it; a node with a single suffix is a leaf and is grown no further. A window is a pair of
 a right and a left node whose depths add up to thirteen: where such a node is an
 internal one, its suffixes form a maximal repeat, and all but those of the smallest document are removed.
@@ -15,10 +16,12 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, Entries, Kind, later, remove_repeats, renumber, summary
+from .repeats import Entries, Kind, later, remove_repeats, renumber, summary, unpack
 
 KIND = Kind(words=True, window=13, gram=4)
 
@@ -51,9 +54,26 @@ def solve(kind: Kind, e: Entries) -> tuple[Entries, np.ndarray]:
     return e, flags
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+class Tree:
+    """One group of prefixes, whose size the choice of prefixes bounds."""
+
+    def __init__(self) -> None:
+        self.payloads: list[list] = []
+
+    def add(self, blob: bytes) -> None:
+        self.payloads.append(unpack(blob))
+
+    def removals(self) -> Iterator[list[tuple[int, int, bytes]]]:
+        if self.payloads:
+            e = Entries(KIND, self.payloads)
+            self.payloads = []
+            if len(e.doc):
+                yield e.removals(solve(KIND, e))
+
+
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n (words), runs of removed words, kept (the other words, joined by one space)."""
-    return remove_repeats(KIND, solve, docs, id_col, text_col, hot)
+    return remove_repeats(KIND, Tree, docs, id_col, text_col, hot)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -91,6 +91,34 @@ def test_keep_one(docs, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """One row of each component, whatever ids its rows share with others; columns may bear any names."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng.choice("klmnop") + str(rng.randrange(999)) for _ in range(50)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d), (None, d), (9, b)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z", "w", {"k": "v"}) for i, t in rows], "doc_id long, text string, _first string, _place string, _own_id string, root string, m map<string,string>")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (7, c), (7, d), (None, d)], key=str)
+
+
+def test_tables_go_with_their_scratch(spark, docs):
+    from ledgerleaf.llm import common
+
+    with common.scratch():
+        simhash.keep_one(docs).collect()
+        made = [t._table for t in common._SCOPES[-1]]
+        assert made
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_no_session_settings_change(spark, docs):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    simhash.near_duplicates(docs).collect()
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
 def brute_removal(rows, size):
     """rows: (id, symbols). Removed places of each row."""
     low = {}
@@ -168,26 +196,68 @@ def test_stretches_cover_each_window_once(texts, chunk):
 
 def test_disk_queue_orders_across_runs():
     rng = np.random.default_rng(1)
-    q = suffix_dedup.DiskQueue(5, run_bytes=2000, block=7)
-    keys = rng.integers(97, 100, (900, 5)).astype(np.uint8)
+    kind = np.dtype([("key", "S5"), ("number", np.int64)])
+    q = suffix_dedup.DiskQueue(kind, "key", run_bytes=2000, block=7)
+    some = np.empty(900, kind)
+    some["key"] = rng.integers(97, 100, (900, 5)).astype(np.uint8).view("S5").ravel()
+    some["number"] = np.arange(900)
     for at in range(0, 900, 50):
-        q.put(keys[at : at + 50], np.arange(at, at + 50))
+        q.put(some[at : at + 50])
     assert len(q.runs) > 3
     got = np.concatenate(list(q.take()))
-    flat = [bytes(k) for k in keys]
-    assert [bytes(k) for k in got["key"]] == sorted(flat) and sorted(got["number"]) == list(range(900))
-    assert all(flat[n] == bytes(k) for k, n in zip(got["key"], got["number"]))
+    flat = some["key"].tolist()
+    assert got["key"].tolist() == sorted(flat) and sorted(got["number"]) == list(range(900))
+    assert all(flat[n] == k for k, n in zip(got["key"].tolist(), got["number"]))
 
 
-def test_small_disk_runs_give_the_same():
+def removed(messages):
+    """Bucket, document and place of everything that messages tell of."""
+    out = set()
+    for some in messages:
+        for _, b, blob in some:
+            out |= {(b, int(i), x) for i, s, e in zip(*repeats.unpack(blob)) for x in range(s, e)}
+    return out
+
+
+@pytest.mark.parametrize("run_bytes, block", [(1 << 20, 1 << 15), (20_000, 64), (500, 3), (500, 1)])
+def test_a_group_larger_than_memory(run_bytes, block):
+    """Everything of a group on disk, blocks down to one tuple: the same windows as brute force finds."""
     rng = random.Random(3)
-    texts = ["".join(rng.choice("ab") for _ in range(30)) + "shared passage of more than fifty bytes, as it happens, or so" + "".join(rng.choice("ab") for _ in range(60)) for _ in range(6)]
+    shared = "shared passage of more than fifty bytes, as it happens, or so"
+    texts = ["".join(rng.choice("ab") for _ in range(30)) + shared + "".join(rng.choice("ab") for _ in range(60)) + rng.choice(["", shared * 2, "ab" * 60]) for _ in range(14)]
+    ids = [k // 2 for k in range(14)]
     sizes = repeats.Sizes(1, 1, 4, frozenset())
-    shared = np.unique(np.concatenate([sizes.short(p[4]) for p in repeats.stretches(suffix_dedup.KIND, [t.encode() for t in texts])]))
-    payloads = [repeats.unpack(m[2]) for m in repeats.cut_entries(suffix_dedup.KIND, sizes, 0, list(range(6)), texts, shared) if m[1] < 0]
-    e = repeats.Entries(suffix_dedup.KIND, payloads)
-    a, b = (suffix_dedup.solve(suffix_dedup.KIND, e, n)[1] for n in (1 << 20, 500))
-    assert (a == b).all() and a.any()
+    hashes = np.unique(np.concatenate([sizes.short(p[4]) for p in repeats.stretches(suffix_dedup.KIND, [t.encode() for t in texts])]))
+    messages = [repeats.cut_entries(suffix_dedup.KIND, sizes, b, ids[b::7], texts[b::7], hashes) for b in range(7)]
+    group = suffix_dedup.SuffixOrder(run_bytes, block)
+    for m in messages:
+        for _, b, blob in m:
+            if b < 0:
+                group.add(blob)
+                group._read()
+    got = removed(group.removals()) | removed([[x for x in m if x[1] >= 0] for m in messages])
+    if run_bytes == 500:
+        assert len(group.queue.runs) > 3 and group.entries.file
+    gone = brute_removal([(i, t.encode()) for i, t in zip(ids, texts)], 50)
+    assert got == {(k % 7, k // 7, x) for k, own in enumerate(gone) for x in own}
+
+
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_hot_anchors_are_the_same_in_any_partitions(spark, module, monkeypatch):
+    rng = random.Random(4)
+    passage = " ".join(rng.choice("abcdef") + str(rng.randrange(99)) for _ in range(40))
+    monkeypatch.setattr(repeats, "SAMPLE_LEAST", 1)
+    monkeypatch.setattr(repeats, "HOT", 300)
+    df = spark.createDataFrame([(i, f"{i} {rng.random()} " * rng.randrange(1, 4) + passage + f" {rng.random()}") for i in range(400)], "doc_id long, text string")
+    few, many = (repeats.measure(module.KIND, df.repartition(n), None) for n in (4, 200))
+    assert few.hot and few.hotter and few == many
+
+
+def test_repeated_rows_are_worked_on_once(spark):
+    text = "one text of more than fifty bytes that stands in very many rows of the table, all of them equal in id"
+    df = spark.createDataFrame([(7, text)] * 500 + [(7, text + "x")] + [(9, text)] * 3, "doc_id long, text string").repartition(2)
+    got = suffix_dedup.remove_covered(df).collect()
+    assert sorted((r.doc_id, r.n, r.runs) for r in got) == [(7, len(text), [])] * 500 + [(7, len(text) + 1, [])] + [(9, len(text), [0, len(text)])] * 3
 
 
 def test_pipeline_stages(spark, tmp_path):
