@@ -2,16 +2,18 @@
 
 The lexicon is learned: over a bounded sample of labelled rows, words and word beginnings are
 counted in toxic and in clean documents; those that stand out (log-likelihood ratio) and are
-several times likelier in toxic ones become entries, with that odds' logarithm as weight. The
+several times likelier in toxic ones, in different surroundings, become entries, with that odds' logarithm as weight. The
 words among them form a trie. A word of the text is
 looked up as it stands (word or beginning) and else by walking the trie together with the
 Levenshtein automaton of the word, which visits only nodes that can still end within the allowed
 distance: so misspelled terms are caught. Entries whose near words turn up in clean training
 documents are not used for near matches.
 
-Each hit is read in its window of the text around it: a hit between quotation marks counts as quotation, others
+Each hit is read in its window of the text around it: a hit between an opening and the closing quotation mark, both
+within the window and on one line, counts as quotation (an apostrophe within a word is no mark), others
 as abuse, and hits close to each other raise the density. A logistic model over these counts,
 fitted on the same sample with a prior that fixes its shape where data are few, gives the score.
+The lexicon has as many entries as pass these tests: fewer than the bounded sample has terms.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2. The sample holds
 SAMPLE labelled rows at most, chosen by a hash of the id; everything else covers all rows.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,12 +45,14 @@ WINDOW = 48  # characters on each side of a hit
 LEAST_GAIN = 11.0  # log-likelihood ratio of a lexicon entry
 LEAST_ODDS = 1.1  # natural logarithm of how many times likelier an entry is in toxic documents
 LONGEST_START = 8
-ENTRIES = 20_000
-NEAR_ENTRIES = 200
+LEAST_CONTEXTS, AROUND = 3, 16  # different surroundings in toxic documents that an entry needs, so that copies of one document make none, and characters of them on each side
 KNOWN_WORDS = 1 << 17
 KNOWN_STATES = 1 << 15
 WORD = re.compile(r"[^\W\d_]+")
-QUOTES = frozenset("\"“”„«»‹›‘’")
+#: Marks of quotation, none of them between letters; a line's end closes nothing but ends all that is open.
+MARK = re.compile(r"[\"“”„«»‹›]|(?<!\w)[‘’]|’(?!\w)|\n")
+#: What closes a mark that opens.
+CLOSES = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", "’": "’"}
 #: Weights before data of: constant, abuse (summed), abuse (strongest), hits, near, quoted, density.
 PRIOR = np.array([-5.0, 1.5, 0.4, 1.0, 2.0, 0.3, 0.3])
 PRIOR_STRENGTH = np.array([0.1, 0.1, 0.3, 0.3, 1.0, 1.0, 3.0])
@@ -151,6 +156,23 @@ class NearWords:
         return min(found)[1] if found else None
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Start and end of what stands between an opening mark and the mark that closes it, on one line, in order of the ends."""
+    out, open_marks = [], []
+    for m in MARK.finditer(text):
+        if m[0] == "\n":
+            open_marks.clear()
+            continue
+        at = next((k for k in range(len(open_marks) - 1, -1, -1) if m[0] in CLOSES[open_marks[k][0]]), None)
+        if at is None:
+            if not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):  # after a letter a mark only closes
+                open_marks.append((m[0], m.end()))
+        else:
+            out.append((open_marks[at][1], m.start()))
+            del open_marks[at:]
+    return out
+
+
 class Lexicon:
     """Entries with their weights, ready to be looked up."""
 
@@ -191,6 +213,8 @@ class Lexicon:
         plain = close = 0
         before = -WINDOW - 1
         once = set()
+        quotes = quotations(text) if found else []
+        ends = [b for _, b in quotes]
         for kind, entry, s, e in found:
             w = self.weights[entry]
             close += s - before <= WINDOW
@@ -198,7 +222,7 @@ class Lexicon:
             if text[s:e] in once:  # a word counts once, however often it is repeated
                 continue
             once.add(text[s:e])
-            if QUOTES.intersection(text[max(0, s - WINDOW) : s]) and QUOTES.intersection(text[e : e + WINDOW]):
+            if any(s - WINDOW <= a <= s for a, _ in quotes[bisect_left(ends, e) : bisect_right(ends, e + WINDOW)]):
                 quoted += w
             elif kind == "near":
                 near += w
@@ -269,23 +293,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         w = math.log((r["toxic"] + 0.5) / (n_a + 1)) - math.log((r["clean"] + 0.5) / (n_b + 1))
         if w >= LEAST_ODDS and (g := gain(r["toxic"], r["clean"], n_a, n_b)) >= LEAST_GAIN:
             gains[t], odds[t] = g, w
-    ranked = sorted(gains, key=lambda t: (-gains[t], t))[:ENTRIES]
+    ranked = sorted(gains, key=lambda t: (-gains[t], t))
     # of entries that begin alike and say as much, the longest stays
     vague = {b + "*" for t in ranked for k in range(3, len(t.rstrip("*")) + 1) if (b := t[:k].rstrip("*")) + "*" != t and gains[t] >= 0.97 * gains.get(b + "*", math.inf)}
     weights = {t: odds[t] for t in ranked if t not in vague}
     # misspellings are sought of words that say as much as their own beginnings do
-    whole = [t for t in ranked if t[-1] != "*" and edits(t) and gains[t] >= 0.8 * max([gains.get(t[:k] + "*", 0) for k in range(3, LONGEST_START + 1)])][:NEAR_ENTRIES]
+    whole = [t for t in ranked if t[-1] != "*" and edits(t) and gains[t] >= 0.8 * max([gains.get(t[:k] + "*", 0) for k in range(3, LONGEST_START + 1)])]
     lexicon = Lexicon(weights, whole)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.lower() for t in batch.column(0).to_pylist()]
-            near = [sorted({e for kind, e, _, _ in lexicon.hits(t)[1] if kind == "near"}) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(near, pa.list_(pa.string()))], ["toxic", "near"])
-
-    found = map_arrow(rows, describe, "toxic int, near array<string>", "toxicity").select(F.explode("near").alias("entry"), "toxic")
-    loose = {r["entry"] for r in found.groupBy("entry").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean")).where("clean > 0").collect()}  # at most NEAR_ENTRIES rows
-    lexicon = Lexicon(weights, [t for t in whole if t not in loose])
+            near, seen = [], []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text.lower()
+                found = lexicon.hits(text)[1]
+                near.append(sorted({e for kind, e, _, _ in found if kind == "near"}))
+                seen.append(sorted({(entry, text[max(0, s - AROUND) : e + AROUND]) for kind, entry, s, e in found if toxic and kind == "exact"}))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(near, pa.list_(pa.string())), pa.array([[e for e, _ in x] for x in seen], pa.list_(pa.string())), pa.array([[c for _, c in x] for x in seen], pa.list_(pa.string()))], ["toxic", "near", "entry", "context"])
+
+    read = table_once(map_arrow(rows, describe, "toxic int, near array<string>, entry array<string>, context array<string>", "toxicity"))
+    clean = read.select(F.explode("near").alias("entry"), "toxic").groupBy("entry").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean"))
+    loose = {r["entry"] for r in clean.where("clean > 0").collect()}  # at most one row for each entry
+    contexts = read.select(F.explode(F.arrays_zip("entry", "context")).alias("e")).groupBy("e.entry").agg(F.countDistinct(F.xxhash64("e.context")).alias("n"))
+    known = {r["entry"] for r in contexts.where(F.col("n") >= LEAST_CONTEXTS).collect()}
+    lexicon = Lexicon({t: w for t, w in weights.items() if t in known}, [t for t in whole if t in known and t not in loose])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
