@@ -8,14 +8,13 @@ the rules of the operators' docstrings.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerleaf.llm import bpe, decontamination, secrets, simhash, toxicity
-from ledgerleaf.llm.common import load, shared_dir
+from ledgerleaf.llm.common import forget, load, scratch, table_once
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +56,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result but the last is written into the shared folder and reread."""
-    docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-    return docs
+    docs, before = load(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        keep: list[DataFrame] = []
+        with scratch(keep=keep):
+            docs = table_once(stage(spark, docs, sf_dir))
+            keep.append(docs)
+        if before is not None:
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
