@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import html_text, quality, secrets, toxicity
 
@@ -91,6 +92,29 @@ def test_secret_queries_and_postings(spark):
     assert secrets.report(secrets.find_secrets(df.where("false"))).count() == 0
 
 
+def test_posting_lists_and_candidates(spark):
+    texts = ["My TOKEN", "nothing", "to ken, no", "xoxb-ssword", None, "AKIAKIA"]
+    keyed = spark.createDataFrame([(k, t or "") for k, t in enumerate(texts)], "key long, text string")
+    index = secrets.posting_lists(keyed)
+    lists = {r.trigram: r["keys"] for r in index.collect()}
+    assert lists["tok"] == [0] and lists["aki"] == [5] and lists["xox"] == [3] if "xox" in lists else lists["xb-"] == [3]
+    for r in secrets.RULES:
+        for clause in secrets.asked(r) or []:
+            assert len(clause) <= secrets.RAREST and any(set(clause) <= c for c in secrets.mandatory(r.pattern))
+    got = {r.key: sorted(r.ranks) for r in secrets.candidates(index).collect()}
+    assert got[0] == [0] and got[5] == [1] and 1 not in got and 2 not in got and 4 in got[3]
+
+
+def test_secrets_in_a_text_with_very_many_matches(spark):
+    n = 40_000
+    text = "é token=abcdef1 x" * n
+    df = spark.createDataFrame([(1, text), (1, text), (2, "token=abcdef1")], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_assign, r.base_sha256) for r in secrets.report(secrets.find_secrets(df)).collect()}
+    want = hashlib.sha256(",".join(f"assign:{17 * k + 2}:{17 * k + 15}" for k in range(n)).encode()).hexdigest()
+    assert (1, n, want) in rows and len(rows) == 2
+    assert secrets.redact(df.withColumn("_key", F.lit("x"))).where("doc_id = 1").first().text == "é [secret] x" * n
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="home">
 <header><h1>Site name</h1></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><div class="cookie-notice">We use cookies, accept them.</div><!-- <p>not this</p> -->
 <div id="main-content"><article><header><h1>The &amp; title</h1></header><p>First  paragraph,<b> bold</b>
