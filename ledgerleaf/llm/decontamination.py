@@ -1,60 +1,118 @@
-"""Benchmark decontamination over a positional inverted index.
+"""Benchmark decontamination over a stored, distributed positional inverted index.
 
-The training documents are indexed shard by shard: every Arrow batch of documents becomes one
-shard with a posting list (the sorted positions) for each benchmark term. A first pass counts
-how often each benchmark term occurs in the whole corpus. In the second pass each window of a
+The training documents are indexed shard by shard: each slice of documents becomes one row of a stored table with the
+posting list (sorted positions) of every term in it. Everything after that reads the index, not
+the texts. First the lists' lengths give how often each benchmark term occurs in the whole corpus. Then each window of a
 benchmark item starts from the posting list of its rarest term, shifted by that term's offset,
 and is intersected with the shifted lists of its other terms, rarer ones first. What is left
-are exact phrase matches. Since shards are split by document, no posting crosses the network
-and a passage that a third of all documents hold costs no more than its own occurrences.
+are exact phrase matches; ``find_near`` finds all terms of a window close to each other, in any order. Since shards are
+split by document, no posting is shuffled and a passage that a third of all documents hold costs no more than its own
+occurrences.
 
-The benchmark is the stated query set. It reaches the workers in blocks of at most BLOCK_BYTES of
-item text, chosen after its size is measured; a larger benchmark takes more passes.
+The benchmark is the stated query set. It is cut into blocks of bounded size, whose number follows from its measured
+size, and every shard meets every block in one pass; Spark chooses by their stored size how the blocks reach the shards.
 
-Words: A-Z lower-cased, then runs of digits, a-z and characters from U+0080 on.
+Words: A-Z lower-cased, then runs of digits, a-z and characters from U+0080 on. A term is known by a 64-bit hash of the
+word.
 
 Defined results: a null or empty document has no words and no hits; a null or wordless item has no
 window; a null item_id is named by the empty string; items with equal ids count once; repeated
-documents each give a row; empty tables give no rows or no hits; other columns are not read.
+documents each give a row, equal matches of ``find_near`` in one document one row; spans of equal length go to the
+leftmost; empty tables give no rows or no hits; other columns are not read (``drop_contaminated`` keeps them).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import chain, repeat
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, id_text, map_arrow
+from .common import fresh, id_text, map_arrow, scratch, table_once
+from .repeats import Words, pack, unpack, word_values
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 EXPAND = 1 << 21
+SPAN = 1 << 40  # beyond any position of a shard
 #: A-Z to a-z; every ASCII byte that is no digit or letter to a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(WORD_BYTES).split()
+def words_of(text: str) -> Words:
+    return Words(text.encode().translate(WORD_BYTES))
+
+
+def terms_of(texts: list[Words]) -> list[np.ndarray]:
+    """The terms of each text."""
+    n = np.cumsum([len(w) for w in texts])
+    return np.split(word_values(texts), n[:-1]) if n.size and n[-1] else [np.zeros(0, np.uint64) for _ in texts]
+
+
+class Postings:
+    """Posting lists of a slice of documents: ``terms`` in order, how many ``counts`` places each has, and the places, one list after the other.
+
+    Documents follow each other with one place left free after each, so that no phrase crosses from one into the next;
+    ``first`` are their first places, and the end.
+    """
+
+    def __init__(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, places: np.ndarray):
+        self.first, self.terms, self.counts, self.places = first, terms, counts, places
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "Postings":
+        words = [words_of(t) for t in texts]
+        n = np.array([len(w) for w in words], np.int64)
+        first = np.concatenate([[0], np.cumsum(n + 1)])
+        found = np.concatenate([np.zeros(0, np.uint64), *terms_of(words)])
+        where = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
+        order = np.argsort(found, kind="stable")
+        found = found[order]
+        heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        return cls(first, found[heads], np.diff(np.append(heads, len(found))), where[order])
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """The terms with the lengths of their lists, and the lists: each place by its distance from the one before."""
+        steps = np.diff(self.places, prepend=0)
+        steps[self.at[:-1]] = self.places[self.at[:-1]]
+        return pack(self.terms, self.counts.astype(np.uint32)), pack(self.first, steps.astype(np.uint32))
+
+    @classmethod
+    def unpacked(cls, terms: bytes, lists: bytes) -> "Postings":
+        (terms, counts), (first, steps) = unpack(terms), unpack(lists)
+        counts = counts.astype(np.int64)
+        sums = np.cumsum(steps, dtype=np.int64)
+        heads = np.cumsum(counts) - counts
+        return cls(first, terms, counts, sums - np.repeat(sums[heads] - steps[heads], counts))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The number of each wanted term's list, -1 where no document holds it."""
+        if not len(self.terms):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
+        return np.where(self.terms[at] == wanted, at, -1)
 
 
 class Queries:
-    """The windows of a block of benchmark items, with terms numbered."""
+    """The windows of a block of benchmark items, with terms numbered by the order of their hashes."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
+        hashes = terms_of([words_of(t) for _, t in items]) if items else []
+        self.vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
         found: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
+        for (name, _), own in zip(items, hashes):
+            ids = np.searchsorted(self.vocab, own).tolist()
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[at : at + window]), set()).add(name)
         self.names = sorted({n for names in found.values() for n in names})
         number = {n: i for i, n in enumerate(self.names)}
-        self.groups = []  # one for each window length
+        self.groups = []  # one for each window length: length, terms, places of the names, names
         for size in sorted({len(w) for w in found}):
             some = [(w, sorted(number[n] for n in names)) for w, names in found.items() if len(w) == size]
             self.groups.append((size, np.array([w for w, _ in some], np.int64), np.cumsum([0] + [len(n) for _, n in some]), np.array(list(chain.from_iterable(n for _, n in some)), np.int64)))
@@ -63,13 +121,15 @@ class Queries:
         """Order each window's offsets from its rarest term on."""
         self.orders = [np.argsort(frequency[terms], axis=1, kind="stable") for _, terms, _, _ in self.groups]
 
-    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers of all texts in a row (-1: no benchmark term; -1 also after each text), and each text's first place, with the end."""
-        each = [words_of(t) for t in texts]
-        first = np.zeros(len(each) + 1, np.int64)
-        np.cumsum([len(w) + 1 for w in each], out=first[1:])
-        stop = [b""]
-        return np.fromiter(map(self.vocab.get, chain.from_iterable(chain.from_iterable((w, stop) for w in each)), repeat(-1)), np.int64, count=int(first[-1])), first
+    def packed(self) -> bytes:
+        return pack(self.vocab, self.names, [(size, terms, at, names, order) for (size, terms, at, names), order in zip(self.groups, self.orders)])
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> "Queries":
+        out = object.__new__(cls)
+        out.vocab, out.names, some = unpack(blob)
+        out.groups, out.orders = [g[:4] for g in some], [g[4] for g in some]
+        return out
 
 
 def _spread(counts: np.ndarray) -> np.ndarray:
@@ -79,64 +139,68 @@ def _spread(counts: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Posting lists of one batch of documents."""
-
-    def __init__(self, queries: Queries, texts: list[str]):
-        self.q = queries
-        self.ids, self.first = queries.number(texts)
-        places = np.flatnonzero(self.ids >= 0)
-        terms = self.ids[places]
-        self.postings = places[np.argsort(terms, kind="stable")]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(queries.vocab)))])
+    """A block of queries over the posting lists of one slice of documents."""
+
+    def __init__(self, queries: Queries, index: Postings | list[str]):
+        p = index if isinstance(index, Postings) else Postings.of(index)
+        self.q, self.first = queries, p.first
+        lists = p.find(queries.vocab)
+        held = lists >= 0
+        counts = np.where(held, p.counts[lists] if len(p.counts) else 0, 0)
+        self.postings = p.places[np.repeat(p.at[lists[held]], counts[held]) + _spread(counts[held])] if held.any() else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+        self.keyed = self.postings + SPAN * np.repeat(np.arange(len(counts)), counts)  # all lists as one, in order
+
+    def among(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each place stands in the list of its term."""
+        if not len(self.keyed):
+            return np.zeros(len(term), bool)
+        wanted = place + SPAN * term
+        return self.keyed[np.minimum(np.searchsorted(self.keyed, wanted), len(self.keyed) - 1)] == wanted
 
     def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Window length, group row and start of each exact occurrence, for each group in turn."""
-        for (size, terms, _, _), order in zip(self.q.groups, self.q.orders):
-            rows = np.arange(len(terms))
-            rarest = terms[rows, order[:, 0]]
+        """Number of the group, window and start of each exact occurrence, for each group in turn."""
+        held = np.diff(self.at) > 0
+        for g, ((size, terms, _, _), order) in enumerate(zip(self.q.groups, self.q.orders)):
+            rows = np.flatnonzero(held[terms].all(axis=1))  # an empty list leaves nothing to intersect
+            if not len(rows):
+                continue
+            rarest = terms[rows, order[rows, 0]]
             counts = self.at[rarest + 1] - self.at[rarest]
             cuts = np.searchsorted(np.cumsum(counts), np.arange(EXPAND, counts.sum() + EXPAND, EXPAND)) + 1
-            for some in np.split(rows, np.minimum(cuts, len(rows))):
+            for some in np.split(np.arange(len(rows)), np.minimum(cuts, len(rows))):
                 n = counts[some]
-                if not n.sum():
-                    continue
-                row = np.repeat(some, n)
+                row = np.repeat(rows[some], n)
                 start = self.postings[np.repeat(self.at[rarest[some]], n) + _spread(n)] - order[row, 0]
-                ok = (start >= 0) & (start + size <= len(self.ids))
-                row, start = row[ok], start[ok]
-                for j in range(1, size):  # each step keeps what the next list, shifted, also holds
+                for j in range(1, size):  # what the next list, shifted, holds too
                     offset = order[row, j]
-                    ok = self.ids[start + offset] == terms[row, offset]
+                    ok = self.among(terms[row, offset], start + offset)
                     row, start = row[ok], start[ok]
-                yield size, row, start
+                if len(row):
+                    yield g, row, start
 
     def match(self) -> list[tuple[int, list[int], list[str]]]:
         """For each text its number of words, the runs of hit words as [start, end, start, end...] and the items found."""
-        edge = np.zeros(len(self.ids) + 1, np.int32)
+        edge = np.zeros(int(self.first[-1]) + 1, np.int32)
         pairs = []
-        for k, (size, row, start) in self._by_group():
+        for g, row, start in self.phrases():
+            size, _, names_at, names = self.q.groups[g]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + size, -1)
-            _, _, names_at, names = self.q.groups[k]
             n = names_at[row + 1] - names_at[row]
             doc = np.repeat(np.searchsorted(self.first, start, side="right") - 1, n)
             pairs.append(np.unique(doc * max(1, len(self.q.names)) + names[np.repeat(names_at[row], n) + _spread(n)]))
-        hit = np.cumsum(edge[:-1]) > 0
-        turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
         n_docs = len(self.first) - 1
         runs: list[list[int]] = [[] for _ in range(n_docs)]
-        for s, e in turns.reshape(-1, 2):
-            d = int(np.searchsorted(self.first, s, side="right")) - 1
-            runs[d] += [int(s - self.first[d]), int(e - self.first[d])]
         items: list[list[str]] = [[] for _ in range(n_docs)]
-        for p in np.unique(np.concatenate(pairs)) if pairs else []:
-            items[p // len(self.q.names)].append(self.q.names[p % len(self.q.names)])
-        return [(int(self.first[d + 1] - self.first[d] - 1), runs[d], items[d]) for d in range(n_docs)]
-
-    def _by_group(self):
-        sizes = {size: k for k, (size, _, _, _) in enumerate(self.q.groups)}
-        for size, row, start in self.phrases():
-            yield sizes[size], (size, row, start)
+        if pairs:
+            hit = np.cumsum(edge[:-1]) > 0
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
+            for (s, e), d in zip(turns.tolist(), (np.searchsorted(self.first, turns[:, 0], side="right") - 1).tolist()):
+                runs[d] += [s - int(self.first[d]), e - int(self.first[d])]
+            for p in np.unique(np.concatenate(pairs)).tolist():
+                items[p // len(self.q.names)].append(self.q.names[p % len(self.q.names)])
+        return [(int(n), r, i) for n, r, i in zip(np.diff(self.first) - 1, runs, items)]
 
     def near(self, slop: int) -> list[tuple[int, str, int, int]]:
         """Text number, item, start and end of the shortest span around each posting of a window's rarest term that holds all its terms, in any order, within its length plus ``slop``."""
@@ -145,13 +209,15 @@ class Shard:
             for row in range(len(terms)):
                 wanted = list(dict.fromkeys(terms[row, order[row]].tolist()))
                 lists = [self.postings[self.at[t] : self.at[t + 1]] for t in wanted]
+                if not all(map(len, lists)):
+                    continue
                 for p in lists[0].tolist():
                     d = int(np.searchsorted(self.first, p, side="right")) - 1
                     lo, hi = max(p - size - slop + 1, int(self.first[d])), min(p + size + slop, int(self.first[d + 1]) - 1)
                     inside = [x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] for x in lists[1:]]
                     if all(len(x) for x in inside):
                         best = None
-                        for s in [p, *(int(v) for x in inside for v in x if v < p)]:  # the span starts at one of the postings
+                        for s in sorted({p, *(int(v) for x in inside for v in x if v < p)}):  # the span starts at one of the postings
                             ends = [p] + [int(x[np.searchsorted(x, s)]) if np.searchsorted(x, s) < len(x) else hi for x in inside]
                             if max(ends) < hi and max(ends) - s < size + slop and (best is None or max(ends) - s < best[1] - best[0]):
                                 best = (s, max(ends))
@@ -160,43 +226,113 @@ class Shard:
         return sorted(out)
 
 
-def query_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[Queries]:
-    """The benchmark in blocks of bounded size; its size is measured first."""
+def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of ``docs``: shard, and of its documents in order ids, marks (what a text is known by), terms (with the lengths of their lists) and lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, lists = Postings.of(batch.column(3).to_pylist()).packed()
+            ids, marks = batch.column(0).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([[m for m, _ in marks]], pa.list_(pa.int64())), pa.array([[n for _, n in marks]], pa.list_(pa.int64())), pa.array([terms], pa.binary()), pa.array([lists], pa.binary())], ["shard", "ids", "marks", "checks", "terms", "lists"])
+
+    rows = id_text(docs, id_col, text_col).select("doc_id", *marks_of(F.col("text")), "text")
+    return table_once(map_arrow(rows, run, "shard string, ids array<long>, marks array<long>, checks array<long>, terms binary, lists binary"))
+
+
+def marks_of(text: F.Column) -> tuple[F.Column, F.Column]:
+    """What a text is known by: two independent hashes, 96 bits and its length together."""
+    return F.xxhash64(text).alias("mark"), (F.hash(text).cast("long") * F.lit(1 << 31) + F.octet_length(text)).alias("check")
+
+
+def query_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """The benchmark in blocks of bounded size, one for each row: block, vocab, queries; their number follows from its measured size."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     blocks = max(1, math.ceil(2 * total / BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    for b in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b)
-        yield Queries([(r["name"], r["text"]) for r in some.collect()], window)
+
+    def make(table: pa.Table) -> pa.Table:
+        q = Queries(list(zip(table["name"].to_pylist(), table["text"].to_pylist())), window)
+        q.rank(np.zeros(len(q.vocab), np.int64))
+        return pa.table({"block": table["block"][:1], "vocab": pa.array([pack(q.vocab)], pa.binary()), "queries": pa.array([q.packed()], pa.binary())})
+
+    if not total:
+        return table_once(benchmark.sparkSession.createDataFrame([(0, pack(Queries([]).vocab), _empty())], "block int, vocab binary, queries binary"))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks)).cast("int"))
+    return table_once(dealt.groupBy("block").applyInArrow(make, "block int, vocab binary, queries binary"))
+
+
+def _empty() -> bytes:
+    q = Queries([])
+    q.rank(np.zeros(0, np.int64))
+    return q.packed()
 
 
-def ranked_blocks(docs: DataFrame, benchmark: DataFrame, window: int, doc_text: str, item_id: str, item_text: str) -> Iterator[Queries]:
-    """Each block with the corpus frequency of its terms known."""
-    texts = docs.select(F.coalesce(F.col(doc_text).cast("string"), F.lit("")).alias("text"))
-    for q in query_blocks(benchmark, window, item_id, item_text):
+def ranked(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """``blocks`` (block, queries) with the windows' terms in the order of their frequency in the whole corpus, which the lengths of the posting lists give."""
 
-        def count(batches: Iterator[pa.RecordBatch], q: Queries = q) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(q.vocab), np.int64)
-            for batch in batches:
-                ids, _ = q.number(batch.column(0).to_pylist())
-                n += np.bincount(ids[ids >= 0], minlength=len(n))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, vocab, terms in zip(*(c.to_pylist() for c in batch.columns)):
+                wanted, (known, counts) = unpack(vocab)[0], unpack(terms)
+                at = Postings(np.zeros(1, np.int64), known, counts, known[:0]).find(wanted)
+                n = np.where(at >= 0, counts[at] if len(counts) else 0, 0).astype(np.int64)
+                sums[block] = sums[block] + n if block in sums else n
+        for block, n in sums.items():
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block), pa.int32()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["block", "term", "n"])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                q = Queries.unpacked(blob)
+                frequency = np.zeros(len(q.vocab), np.int64)
+                for r in found or []:
+                    frequency[r["term"]] = r["n"]
+                q.rank(frequency)
+                out.append(q.packed())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "queries"])
+
+    met = blocks.select("block", "vocab").crossJoin(index.select("terms"))
+    counts = map_arrow(met, count, "block int, term long, n long").groupBy("block", "term").agg(F.sum("n").alias("n"))
+    found = counts.groupBy("block").agg(F.collect_list(F.struct("term", "n")).alias("found"))  # at most a block's terms
+    return table_once(map_arrow(blocks.select("block", "queries").join(found, "block", "left"), order, "block int, queries binary"))
+
+
+def _each(of: Callable[[Shard, dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over rows of the index, each beside a block of queries: ``of`` gets the shard under these queries, and the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[bytes, Queries] | None = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if known is None or known[0] != r["queries"]:
+                    known = (r["queries"], Queries.unpacked(r["queries"]))
+                yield of(Shard(known[1], Postings.unpacked(r["terms"], r["lists"])), r)
 
-        frequency = np.zeros(len(q.vocab), np.int64)
-        if q.vocab:
-            for r in map_arrow(texts, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each benchmark term of the block
-                frequency[r["term"]] = r["n"]
-        q.rank(frequency)
-        yield q
+    return run
 
 
-MATCHES = "doc_id long, text string, n_words long, runs array<int>, items array<string>"
+RUNS = pa.list_(pa.int32())
+ITEMS = pa.list_(pa.string())
 
 
-def _joined(runs: list[int], more: list[int]) -> list[int]:
+def _hits(index: DataFrame, queries: DataFrame, all_rows: bool) -> DataFrame:
+    """shard, place, doc_id, mark, check, n_words, runs, items of the documents with a hit, or of all."""
+
+    def rows(shard: Shard, r: dict) -> pa.RecordBatch:
+        got = shard.match()
+        some = [k for k, (_, runs, _) in enumerate(got) if runs or all_rows]
+        take = lambda c, kind: pa.array([r[c][k] for k in some], kind)
+        return pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(some), pa.string()), pa.array(some, pa.int32()), take("ids", pa.int64()), take("marks", pa.int64()), take("checks", pa.int64()), pa.array([got[k][0] for k in some], pa.int64()), pa.array([got[k][1] for k in some], RUNS), pa.array([got[k][2] for k in some], ITEMS)], ["shard", "place", "doc_id", "mark", "check", "n_words", "runs", "items"])
+
+    return map_arrow(index.crossJoin(queries.select("queries")), _each(rows), "shard string, place int, doc_id long, mark long, check long, n_words long, runs array<int>, items array<string>")
+
+
+def _joined(pieces: list[list[int]]) -> list[int]:
     out: list[int] = []
-    for s, e in sorted(zip([*runs[::2], *more[::2]], [*runs[1::2], *more[1::2]])):
+    for s, e in sorted((s, e) for some in pieces for s, e in zip(some[::2], some[1::2])):
         if out and s <= out[-1]:
             out[-1] = max(out[-1], e)
         else:
@@ -206,41 +342,47 @@ def _joined(runs: list[int], more: list[int]) -> list[int]:
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, runs (word offsets start, end, start, end... of what benchmark windows cover), items (ids of the items found, sorted as strings)."""
-    out = id_text(docs, id_col, text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
-    for q in ranked_blocks(docs, benchmark, window, text_col, item_id, item_text):
+    index = index_of(docs, id_col, text_col)
+    blocks = query_blocks(benchmark, window, item_id, item_text)
+    queries = ranked(blocks, index)
+    if queries.count() == 1:
+        return _hits(index, queries, True).select("doc_id", "n_words", "runs", "items")
+    empty = table_once(docs.sparkSession.createDataFrame([(0, _empty())], "block int, queries binary"))
+    found = _hits(index, empty, True).unionByName(_hits(index, queries, False))
+    each = found.groupBy("shard", "place").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("runs").alias("pieces"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
-        def run(batches: Iterator[pa.RecordBatch], q: Queries = q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = Shard(q, batch.column(1).to_pylist()).match()
-                runs = [_joined(old, new) if old else new for old, (_, new, _) in zip(batch.column(3).to_pylist(), got)]
-                items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column(4).to_pylist(), got)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _, _ in got], pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "runs", "items"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_joined(p) for p in batch.column(2).to_pylist()], RUNS), batch.column(3)], ["doc_id", "n_words", "runs", "items"])
 
-        out = map_arrow(out, run, MATCHES)
-    return out.drop("text")
+    return map_arrow(each.select("doc_id", "n_words", "pieces", "items"), join, "doc_id long, n_words long, runs array<int>, items array<string>")
 
 
 def find_near(docs: DataFrame, benchmark: DataFrame, slop: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Proximity matches: doc_id, item, start, end (word offsets) of spans that hold all words of a window, in any order, within its length plus ``slop``."""
-    out = None
-    for q in ranked_blocks(docs, benchmark, window, text_col, item_id, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], q: Queries = q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                got = Shard(q, batch.column(1).to_pylist()).near(slop)
-                yield pa.RecordBatch.from_pylist([{"doc_id": ids[d], "item": i, "start": s, "end": e} for d, i, s, e in got], pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-
-        one = map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, item string, start long, end long")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    for q in ranked_blocks(docs, benchmark, window, text_col, "item_id", "text"):
-        docs = filter_rows(docs, lambda texts, q=q: [not runs for _, runs, _ in Shard(q, texts).match()], text_col)
-    return docs
+    index = index_of(docs, id_col, text_col)
+    queries = ranked(query_blocks(benchmark, window, item_id, item_text), index)
+    schema = pa.schema([("shard", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def rows(shard: Shard, r: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"shard": r["shard"], "place": d, "doc_id": r["ids"][d], "item": i, "start": s, "end": e} for d, i, s, e in shard.near(slop)], schema)
+
+    found = map_arrow(index.crossJoin(queries.select("queries")), _each(rows), "shard string, place int, doc_id long, item string, start long, end long")
+    return found.distinct().select("doc_id", "item", "start", "end")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns. What occurs depends on the text alone, so rows go by what their text is known by."""
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        index = index_of(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+        hit = table_once(_hits(index, ranked(query_blocks(benchmark, window, item_id, item_text), index), False).select("mark", "check").distinct())
+        keep.append(hit)
+    a, b = fresh(docs.columns, "_mark"), fresh(docs.columns, "_check")
+    mark, check = marks_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    marked = docs.withColumns({a: mark, b: check})
+    gone = hit.toDF(fresh(marked.columns, "_hit_mark"), fresh(marked.columns, "_hit_check"))
+    return marked.join(gone, (F.col(a) == F.col(gone.columns[0])) & (F.col(b) == F.col(gone.columns[1])), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(matches: DataFrame) -> DataFrame:

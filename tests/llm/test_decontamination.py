@@ -43,7 +43,7 @@ def test_report_equals_brute_force(docs, cases, benchmark, items):
 def test_blocks_of_queries_give_the_same(docs, benchmark, monkeypatch):
     whole = sorted(map(str, d.report(d.find_phrases(docs, benchmark)).collect()))
     monkeypatch.setattr(d, "BLOCK_BYTES", 300)
-    assert sum(1 for _ in d.query_blocks(benchmark, 10, "item_id", "text")) > 2
+    assert d.query_blocks(benchmark, 10, "item_id", "text").count() > 2
     assert sorted(map(str, d.report(d.find_phrases(docs, benchmark)).collect())) == whole
 
 
@@ -64,6 +64,58 @@ def test_near_matches():
     assert [x[0] for x in d.Shard(q, texts).near(0)] == [2]
 
 
+def brute_near(texts, items, slop, window=10):
+    word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
+    everything = [w for _, t in texts for w in word(t)]
+    out = set()
+    for i, t in texts:
+        w = word(t)
+        for name, item in items:
+            q = word(item)
+            for k in range(max(1, len(q) - window + 1) if q else 0):
+                own = q[k : k + window]
+                ranks = sorted(range(len(own)), key=lambda j: (everything.count(own[j]), j))
+                rare = own[ranks[0]]
+                for p in (p for p, x in enumerate(w) if x == rare):
+                    spans = [(e - s, s, e) for s in range(max(0, p - len(own) - slop + 1), p + 1) for e in range(p + 1, min(len(w), s + len(own) + slop) + 1) if set(own) <= set(w[s:e]) and w[s] in own]
+                    if spans:
+                        out.add((i, str(name), min(spans)[1], min(spans)[2]))
+    return sorted(out, key=str)
+
+
+def test_near_matches_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30)))) for i in range(40)] + [(50, None), (51, "")]
+    items = [(1, "a b c"), (2, "c h a d e"), (3, "z"), (4, None), (5, "b b g"), (6, "a b c d e f g h a b c d")]
+    docs = spark.createDataFrame([(*r, "x") for r in texts] + [(3, texts[3][1], "y")], "doc_id long, text string, item string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for size in (4 << 20, 100):
+        monkeypatch.setattr(d, "BLOCK_BYTES", size)
+        got = sorted([(r.doc_id, r.item, r.start, r.end) for r in d.find_near(docs, benchmark, 2).collect()], key=str)
+        want = brute_near([*texts, (3, texts[3][1])], items, 2)
+        assert got == sorted(want + [r for r in want if r[0] == 3], key=str)
+
+
+def test_postings_are_stored_and_read_back():
+    import numpy as np
+
+    texts = ["a b a", "", "b c", "é é"]
+    p = d.Postings.of(texts)
+    q = d.Postings.unpacked(*p.packed())
+    assert all((x == y).all() for x, y in zip((p.first, p.terms, p.counts, p.places), (q.first, q.terms, q.counts, q.places)))
+    lists = {k: v for k, v in zip("abcé", p.find(np.concatenate(d.terms_of([d.words_of("a b c é")]))).tolist())}
+    held = {w: p.places[p.at[k] : p.at[k + 1]].tolist() for w, k in lists.items()}
+    assert held == {"a": [0, 2], "b": [1, 5], "c": [6], "é": [8, 9]}
+
+
+def test_one_pass_whatever_the_benchmark(docs, benchmark, monkeypatch, capsys):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 150)
+    d.drop_contaminated(docs, benchmark).explain()
+    assert "MapInArrow" not in capsys.readouterr().out  # rows are dropped by a join with stored keys, no text goes to Python again
+
+
 def test_clean_rows_stay_whole(docs, benchmark, cases):
     kept = d.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns
