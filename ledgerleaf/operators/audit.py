@@ -89,6 +89,11 @@ def gaps(log: DataFrame, group: list[str], ts: str, most: float = 600.0) -> Data
     return log.withColumn("gap", s / 1e6).where((F.col("gap") > 0) & (F.col("gap") < most))
 
 
+def first_time(log: DataFrame, group: list[str], met: Column, ts: str) -> DataFrame:
+    """When a milestone was first met; null for groups that never met it."""
+    return log.groupBy(*group).agg(F.min(F.when(met, F.col(ts))).alias("first"))
+
+
 def evict(cache: DataFrame, age: str, size: str, oldest: float, most: float, tie: str) -> DataFrame:
     """What a cache keeps: nothing older than ``oldest``, then the newest while their sizes add up to ``most`` at most."""
     return running_total(cache.where(F.col(age) <= oldest), age, size, "held", (tie,)).where(F.col("held") <= most)

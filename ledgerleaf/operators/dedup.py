@@ -49,9 +49,12 @@ def unseen(rows: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
 
 
 def same_signature(types: DataFrame, name: str, words: str) -> DataFrame:
-    """Pairs of types with equal word sets, met by an equi-join on the sorted set."""
-    s = types.select(F.col(name).alias("n"), F.array_join(F.sort_array(F.array_distinct(words)), "\x1f").alias("s"))
-    return s.alias("a").join(s.alias("b"), F.col("a.s") == F.col("b.s")).where("a.n < b.n").select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
+    """Types whose sets of words equal another's: name, the first name of its class, and how many the class has. Classes, not pairs: they grow with the types only."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("_s")
+    s = types.select(F.col(name).alias("name"), F.sort_array(F.array_distinct(words)).alias("_s"))
+    return s.withColumn("first", F.min("name").over(w)).withColumn("n", F.count("*").over(w)).where("n > 1").drop("_s")
 
 
 def pack_in_order(rows: DataFrame, group: list[str], order: str, size: str, most: float) -> DataFrame:

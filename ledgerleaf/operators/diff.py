@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import groupby, zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,41 +69,35 @@ def precision(cells: DataFrame, *by: str) -> DataFrame:
 
 def zones(a: str, b: str, join: int = JOIN_ZONES) -> list[tuple[int, int, int, int]]:
     """Places where two texts differ, those with fewer than ``join`` equal signs between them as one."""
-    out: list[tuple[int, int, int, int]] = []
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op != "equal":
-            if out and i1 - out[-1][1] < join:
-                out[-1] = (out[-1][0], i2, out[-1][2], j2)
-            else:
-                out.append((i1, i2, j1, j2))
-    return out
+    apart = [s[1:] for s in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if s[0] != "equal"]
+    first = [k for k, s in enumerate(apart) if not k or s[0] - apart[k - 1][1] >= join]
+    return [(apart[k][0], apart[e - 1][1], apart[k][2], apart[e - 1][3]) for k, e in zip(first, [*first[1:], len(apart)])]
 
 
-def touched(cells: list[str], s: int, e: int) -> list[int]:
-    """Cells of a joined run that the span s..e overlaps."""
-    out, at = [], 0
-    for k, c in enumerate(cells):
-        if s < at + len(c) and e > at:
-            out.append(k)
-        at += len(c)
-    return out
+class Run:
+    """Neighbouring cells read as one text; ``owner`` says which cell each sign stands in."""
+
+    def __init__(self, cells: list[str], first: int):
+        self.text = "".join(cells)
+        self.owner = [first + k for k, c in enumerate(cells) for _ in c]
+
+    def columns(self, s: int, e: int) -> set[int]:
+        """The cells of the signs s..e; of a place between signs, the cell that holds both."""
+        if s < e:
+            return set(self.owner[s:e])
+        return set(self.owner[max(0, s - 1) : s]) & set(self.owner[s : s + 1])
 
 
 def row_zones(ref: list[str], conv: list[str]) -> list[tuple[list[int], str, str]]:
     """Differing zones of two folded rows: columns, reference segment, converted segment. Equal cells are anchors; runs of differing cells are compared as one text, so text that slid over a border is no zone."""
-    n = max(len(ref), len(conv))
-    ref, conv = [*ref, *[""] * (n - len(ref))], [*conv, *[""] * (n - len(conv))]
-    out, k = [], 0
-    while k < n:
-        end = k
-        while end < n and ref[end] != conv[end]:
-            end += 1
-        if end > k:
-            a, b = "".join(ref[k:end]), "".join(conv[k:end])
-            for i1, i2, j1, j2 in zones(a, b):
-                cols = sorted({k + x for x in touched(ref[k:end], i1, i2) + touched(conv[k:end], j1, j2)}) or [end - 1]
-                out.append((cols, a[i1:i2], b[j1:j2]))
-        k = end + 1
+    out = []
+    pairs = list(zip_longest(ref, conv, fillvalue=""))
+    for differs, some in groupby(range(len(pairs)), key=lambda k: pairs[k][0] != pairs[k][1]):
+        if differs:
+            own = list(some)
+            a, b = (Run([pairs[k][side] for k in own], own[0]) for side in (0, 1))
+            for i1, i2, j1, j2 in zones(a.text, b.text):
+                out.append((sorted(a.columns(i1, i2) | b.columns(j1, j2)) or [own[-1]], a.text[i1:i2], b.text[j1:j2]))
     return out
 
 

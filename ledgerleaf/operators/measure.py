@@ -39,6 +39,11 @@ def estimate(pages: DataFrame, doc: str, nature: str, read: list[str], tokens: t
     return pages.groupBy(doc).agg(F.count("*").alias("pages"), n.alias("to_read"), (n * tokens[0]).alias("input_tokens"), (n * tokens[1]).alias("output_tokens"), (n * seconds).alias("seconds"))
 
 
+def natures(pages: DataFrame, doc: str, nature: str, kinds: list[str]) -> DataFrame:
+    """Per document, how many pages are of each kind."""
+    return pages.groupBy(doc).agg(*[F.count(F.when(F.col(nature) == k, 1)).alias(k) for k in kinds])
+
+
 def fallback_mean(*tables: tuple[DataFrame, str]) -> Column:
     """The mean of the first table that has any rows, as a chain of scalar subqueries would give: each is one aggregated row."""
     means = [df.agg(F.avg(c)).first()[0] for df, c in tables]  # one row each

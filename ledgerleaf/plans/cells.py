@@ -62,7 +62,7 @@ def duplicate_keys_in_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
 
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS page, array_to_string(list(DISTINCT l_orderkey ORDER BY l_orderkey), ',') AS blocks FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
+@query("SELECT l_shipdate::DATE::VARCHAR AS page, array_to_string(list(DISTINCT l_orderkey ORDER BY l_orderkey), ',') AS blocks FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
 def page_number_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ship dates as page numbers, orders as blocks."""
     some = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").cast("string").alias("page"), F.col("l_orderkey").alias("block"))
@@ -222,9 +222,11 @@ WITH b AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 10.0::DOUBLE), (1, 10.0, 25.0)
 SELECT event_type, CAST(col_idx AS INT) AS col_idx, count(*) AS n FROM (SELECT event_type, coalesce((SELECT col_idx FROM b WHERE value >= lo AND value < hi), 2) AS col_idx FROM events) GROUP BY ALL
 """)
 def range_join_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = spark.createDataFrame([("p", 0, 0.0, 10.0), ("p", 1, 10.0, 25.0), ("p", 2, 25.0, 60.0)], "page string, col_idx int, lo double, hi double")
-    words = table(spark, sf_dir, "events").select(F.lit("p").alias("page"), "event_id", "event_type", F.col("value").alias("x0"))
-    return layout.into_columns(words, bounds, ["page"]).groupBy("event_type", "col_idx").agg(F.count("*").alias("n"))
+    """Types of events as pages with bounds of their own."""
+    words = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").alias("x0"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("col_idx"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, lo, hi in ((0, 0.0, 10.0), (1, 10.0, 25.0), (2, 25.0, 60.0))])).alias("b")
+    bounds = words.select("event_type").distinct().select("event_type", each).select("event_type", "b.*")
+    return layout.into_columns(words, bounds, ["event_type"]).groupBy("event_type", "col_idx").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -325,14 +327,28 @@ def chain_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.merge_chains(e.select("user_id", "event_id", F.array("p", "q").alias("points")), ["user_id"], "event_id", 0.5).select("user_id", "chain", F.size("points").alias("n"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT l_orderkey, l_returnflag, l_linenumber, l_partkey, l_extendedprice / 1000 AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem),
+f AS (SELECT *, true AS stays, [struct_pack(x := x, y := y)] AS kept FROM o WHERE i = 1
+  UNION ALL SELECT o.*, len(list_filter(f.kept, lambda k: abs(k.x - o.x) <= 20 AND abs(k.y - o.y) <= 20)) = 0, CASE WHEN len(list_filter(f.kept, lambda k: abs(k.x - o.x) <= 20 AND abs(k.y - o.y) <= 20)) = 0 THEN list_append(f.kept, struct_pack(x := o.x, y := o.y)) ELSE f.kept END
+    FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.l_returnflag = f.l_returnflag AND o.i = f.i + 1)
+SELECT l_orderkey, l_returnflag, l_linenumber, l_partkey FROM f WHERE stays
+""")
 def tolerance_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per label, vectors whose first two dimensions lie within a tolerance of one kept before go."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return dedup.within_tolerance(e, ["label"], "vec_id", "x", "y", 0.02).select("vec_id", "label")
+    """Orders as pages and return flags as texts: items that lie within a tolerance (price in thousands, quantity) of one kept before go."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("o"))
+    placed = li.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy("o"))).drop("o")
+    return dedup.within_tolerance(placed, ["l_orderkey", "l_returnflag"], "i", "x", "y", 20.0).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_type, CAST(event_id AS INT) AS row_idx, CAST(floor(value) AS INT) AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+f AS (SELECT *, n AS sure, CAST(NULL AS INT) AS doubt, CAST(NULL AS VARCHAR) AS message FROM o WHERE i = 1
+  UNION ALL SELECT o.*, CASE WHEN ok THEN o.n ELSE g.sure END, CASE WHEN ok THEN NULL ELSE o.n END, CASE WHEN ok THEN NULL ELSE g.sure || ' then ' || o.n END
+    FROM (SELECT f.user_id, f.event_type, f.i, f.sure, f.doubt, p.n, p.n BETWEEN f.sure AND f.sure + 20 OR coalesce(p.n BETWEEN f.doubt AND f.doubt + 20, false) AS ok FROM f JOIN o p ON p.user_id = f.user_id AND p.event_type = f.event_type AND p.i = f.i + 1) g
+    JOIN o ON o.user_id = g.user_id AND o.event_type = g.event_type AND o.i = g.i + 1)
+SELECT user_id AS doc_id, row_idx, message FROM f WHERE message IS NOT NULL
+""")
 def continuity_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of a user's events per type, as a sequence that must not fall or jump."""
     e = table(spark, sf_dir, "events")

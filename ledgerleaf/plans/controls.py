@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import controls
+from ..operators import audit, controls
 from .registry import query, table
 
 
@@ -76,15 +76,17 @@ def revisions_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey % 97 AS shape, chr(CAST(65 + l_suppkey % 3 AS INT)) AS letter FROM lineitem),
-k AS (SELECT shape, min(letter) AS letter FROM (SELECT * FROM g WHERE l_orderkey < 40) GROUP BY shape HAVING count(DISTINCT letter) = 1)
+WITH g AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_linestatus, l_partkey % 97 AS shape, chr(CAST(CASE WHEN l_partkey % 97 % 5 = 0 THEN 65 + l_suppkey % 3 ELSE 65 + l_partkey % 97 % 26 END AS INT)) AS letter FROM lineitem),
+k AS (SELECT shape, min(letter) AS letter FROM (SELECT * FROM g WHERE l_linestatus = 'F') GROUP BY shape HAVING count(DISTINCT letter) = 1)
 SELECT l_orderkey, string_agg(coalesce(k.letter, chr(65533)), '' ORDER BY l_linenumber, l_extendedprice) AS text, bool_or(k.letter IS NULL) AS unread FROM g LEFT JOIN k USING (shape) GROUP BY l_orderkey
 """)
 def glyph_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part keys as shapes: letters known from the first orders decode all others (the split is the operator's, readable and unreadable text)."""
-    g = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_extendedprice").alias("o"), (F.col("l_partkey") % 97).alias("shape"), F.char(65 + F.col("l_suppkey") % 3).alias("letter"))
-    known = controls.glyph_table(g.where("l_orderkey < 40"))
-    return controls.decode(g.drop("letter"), known, ["l_orderkey"], "o")
+    """Part keys as shapes: the letters of all finished items, as readable text, decode every item; a fifth of the shapes stands for several letters."""
+    shape = F.col("l_partkey") % 97
+    letter = F.char(F.when(shape % 5 == 0, 65 + F.col("l_suppkey") % 3).otherwise(65 + shape % 26))
+    g = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", F.struct("l_linenumber", "l_extendedprice").alias("o"), shape.alias("shape"), letter.alias("letter"))
+    known = controls.glyph_table(g.where("l_linestatus = 'F'").select("shape", "letter"))
+    return controls.decode(g.select("l_orderkey", "o", "shape"), known, ["l_orderkey"], "o")
 
 
 @query("""
@@ -97,7 +99,7 @@ def log_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT l_orderkey, l_linenumber * 1000 + l_suppkey % 1000 AS id, l_extendedprice / 1000 AS x0, l_extendedprice / 1000 + l_quantity AS x1, 10.0 AS h FROM lineitem WHERE l_orderkey % 3 = 0)
+WITH b AS (SELECT l_orderkey, l_linenumber * 1000 + l_suppkey % 1000 AS id, l_extendedprice / 1000 AS x0, l_extendedprice / 1000 + l_quantity AS x1, 10.0 AS h FROM lineitem)
 SELECT a.l_orderkey, a.id AS a, b.id AS b, round(least(a.x1, b.x1) - greatest(a.x0, b.x0), 6) AS overlap FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.id < b.id WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.5 * a.h
 """)
 def text_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +149,12 @@ def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.place_words(c, seen, ["conv_id", "turn"])
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events),
+w AS (SELECT user_id, rank, event_type AS expected, row_number() OVER (PARTITION BY user_id, event_type ORDER BY rank) AS k FROM e WHERE rank <= 3),
+m AS (SELECT user_id, event_type AS expected, 'an ' || event_type || ' came' AS message, row_number() OVER (PARTITION BY user_id, event_type ORDER BY rank) AS k FROM e WHERE rank > 3)
+SELECT user_id, expected, message FROM w LEFT JOIN m USING (user_id, expected, k)
+""")
 def alerts_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of a user's first events, sought among the messages of the later ones."""
     e = table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
@@ -175,8 +182,11 @@ def natural_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("o_custkey", F.array_join(F.transform("l", lambda x: x["label"]), ",").alias("labels"))
 
 
-@query("SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'A') AS BIGINT) AS a, CAST(count(*) FILTER (l_returnflag = 'N') AS BIGINT) AS n FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1")
+@query("""
+WITH c AS (SELECT l_suppkey, upper(l_returnflag) AS majority, count(*) AS n, min(l_orderkey) AS f FROM lineitem GROUP BY ALL),
+m AS (SELECT l_suppkey, majority FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f, majority) AS p FROM c) WHERE p = 1)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, majority FROM lineitem JOIN m USING (l_suppkey) WHERE upper(l_returnflag) <> majority
+""")
 def minority_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    n = lambda f: F.count(F.when(F.col("l_returnflag") == f, 1))
-    return li.groupBy("l_suppkey").agg(n("A").alias("a"), n("N").alias("n"), F.countDistinct("l_returnflag").alias("k")).where("k > 1").drop("k")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    return audit.minority(li, ["l_suppkey"], "l_returnflag", "l_orderkey").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "majority")

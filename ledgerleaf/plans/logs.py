@@ -88,12 +88,13 @@ def budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, doc_id, n_chars, CAST(held AS BIGINT) AS held FROM (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS held FROM documents) WHERE held <= 60000
+WITH c AS (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01') AS age, CAST(round(o_totalprice) AS BIGINT) AS size FROM orders)
+SELECT o_orderkey, age, size, held FROM (SELECT *, CAST(sum(size) OVER (ORDER BY age, o_orderkey) AS BIGINT) AS held FROM c WHERE age <= 900) WHERE held <= 500000000
 """)
 def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source as a cache of its own: the newest documents while their sizes fit."""
-    w = Window.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.sum("n_chars").over(w).alias("held")).where("held <= 60000")
+    """Orders as entries of a cache: none older than 900 days, then the newest while their sizes fit."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.lit("2001-09-01").cast("date"), F.to_date("o_orderdate")).cast("long").alias("age"), F.round("o_totalprice").cast("long").alias("size"))
+    return audit.evict(o, "age", "size", 900, 500_000_000, "o_orderkey")
 
 
 @query("""
@@ -108,7 +109,7 @@ def estimate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, count(*) FILTER (event_type = 'view') AS "view", count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS "error" FROM events GROUP BY user_id
 """)
 def nature_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "click", "error"]).count().na.fill(0)
+    return measure.natures(table(spark, sf_dir, "events"), "user_id", "event_type", ["view", "click", "error"])
 
 
 @query("""
@@ -156,15 +157,10 @@ def dash_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER w AS gap, row_number() OVER w AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
 c AS (SELECT l_orderkey, gap, count(*) AS n, min(i) AS f FROM g WHERE gap IS NOT NULL GROUP BY ALL)
-SELECT l_orderkey, gap, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, gap) AS p FROM c) WHERE p = 1
+SELECT l_orderkey, gap, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, f) AS p FROM c) WHERE p = 1
 """)
 def pitch_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most common gap; gaps are met in rising order of the value, so ties go by the gap itself here."""
-    some = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    gaps = some.withColumn("gap", F.col("l_linenumber") - F.lag("l_linenumber").over(w)).where("gap IS NOT NULL")
-    counts = gaps.groupBy("l_orderkey", "gap").agg(F.count("*").alias("n"))
-    return counts.withColumn("p", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("n"), "gap"))).where("p = 1").drop("p")
+    return measure.common_gap(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
 
 
 @query("""
@@ -187,18 +183,25 @@ def last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type, count(*) AS entries, round(sum(value), 3) AS total, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type
+WITH l AS (SELECT user_id, event_id, event_type <> 'error' AS success, CASE WHEN value > 5 THEN 'non-listing' ELSE 'broken' END AS error, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'signup')
+SELECT user_id, count(*) AS entries, CAST(sum(coalesce(k, 0)) AS BIGINT) AS input_tokens, CAST(sum(event_id) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_read_input_tokens, CAST(count(*) AS BIGINT) AS cache_creation_input_tokens, string_agg(DISTINCT CAST(event_id AS VARCHAR), ',' ORDER BY CAST(event_id AS VARCHAR)) AS ids, count(*) FILTER (NOT success AND error <> 'non-listing') AS errors FROM l GROUP BY user_id
 """)
 def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("entries"), F.round(F.sum("value"), 3).alias("total"), F.sum(k).alias("k_total"), F.countDistinct("user_id").alias("users"))
+    """Events as log entries of their user: signups have no image, errors are failures of two kinds."""
+    from ..sources import logs
+
+    e = table(spark, sf_dir, "events")
+    usage = F.struct(F.get_json_object("props", "$.k").cast("long").alias("input_tokens"), F.col("event_id").alias("output_tokens"), F.lit(None).cast("long").alias("cache_read_input_tokens"), F.lit(1).cast("long").alias("cache_creation_input_tokens"))
+    log = e.select("user_id", F.when(F.col("event_type") != "signup", F.col("event_type")).alias("image"), F.col("event_id").cast("string").alias("id"), (F.col("event_type") != "error").alias("success"), F.when(F.col("value") > 5, "non-listing").otherwise("broken").alias("error"), usage.alias("usage"))
+    return logs.log_totals(log, ["user_id"]).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("""
 SELECT user_id, min(ts) FILTER (event_type = 'purchase') AS first_purchase FROM events GROUP BY user_id
 """)
 def first_milestone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("first_purchase"))
+    e = table(spark, sf_dir, "events")
+    return audit.first_time(e, ["user_id"], F.col("event_type") == "purchase", "ts").withColumnRenamed("first", "first_purchase")
 
 
 @query("""
@@ -210,14 +213,15 @@ def reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-f AS (SELECT source, doc_id, n_chars, i, n_chars AS held, 0 AS batch FROM o WHERE i = 1
-  UNION ALL SELECT o.source, o.doc_id, o.n_chars, o.i, CASE WHEN f.held + o.n_chars > 20000 THEN o.n_chars ELSE f.held + o.n_chars END, CASE WHEN f.held + o.n_chars > 20000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
-SELECT source, doc_id, CAST(batch AS INT) AS batch FROM f
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT o_custkey, o_orderkey, size, i, size AS held, 0 AS batch FROM o WHERE i = 1
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.size, o.i, CASE WHEN f.held + o.size > 600000 THEN o.size ELSE f.held + o.size END, CASE WHEN f.held + o.size > 600000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i = f.i + 1)
+SELECT o_custkey, o_orderkey, CAST(batch AS INT) AS batch FROM f
 """)
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return dedup.pack_in_order(some, ["source"], "doc_id", "n_chars", 20_000.0).drop("n_chars")
+    """Orders of a customer as the pages of a document, packed in order."""
+    some = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("size"))
+    return dedup.pack_in_order(some, ["o_custkey"], "o_orderkey", "size", 600_000.0).drop("size")
 
 
 @query("""

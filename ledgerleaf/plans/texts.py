@@ -27,12 +27,15 @@ def lexicon_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words("documents", "doc_id").join(words("benchmark").distinct(), "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("unknown"))
 
 
-@query(f"""
-SELECT source, w AS form, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT source, doc_id, unnest({SQL_WORDS}) AS w FROM documents) GROUP BY source, w HAVING count(*) >= 50
+@query("""
+WITH c AS (SELECT 'p_brand' AS col_name, upper(p_brand) AS v FROM part UNION ALL SELECT 'p_type', upper(p_type) FROM part UNION ALL SELECT 'p_name', upper(p_name) FROM part),
+f AS (SELECT col_name, unnest(list_distinct(list_filter(list_concat([v], string_split(v, ' ')), lambda x: length(x) >= 4))) AS form FROM c)
+SELECT col_name, form, count(*) AS n FROM f GROUP BY ALL
 """)
 def form_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(ascii_words(F.col("text"))).alias("form"))
-    return words.groupBy("source", "form").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n >= 50")
+    from .cells import part_cells
+
+    return quality.cell_forms(part_cells(spark, sf_dir), ["col_name"]).groupBy("col_name", "form").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -117,7 +120,7 @@ def paired_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 @query()
 def row_alignment_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every document aligned with its second reading; blocks beyond the pair limit pair off by position."""
+    """Rows of every document aligned with its second reading."""
     ref, conv = paired_rows(spark, sf_dir)
     got = align.compare_rows(ref, conv, ["doc_id"])
     return got.groupBy("doc_id").agg(F.sum((F.col("class").isNull()).cast("int")).alias("lone"), F.sum((F.col("class") == "identical").cast("int")).alias("identical"), F.sum((F.col("class") == "confusion").cast("int")).alias("confusion"), F.count("*").alias("cells"))
@@ -174,7 +177,7 @@ def placed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT source, array_to_string(list_sort(list_distinct(list(lang))), '|') AS s FROM documents GROUP BY source)
-SELECT a.source AS a, b.source AS b FROM s a JOIN s b ON a.s = b.s AND a.source < b.source
+SELECT source AS name, min(source) OVER (PARTITION BY s) AS first, CAST(count(*) OVER (PARTITION BY s) AS BIGINT) AS n FROM s QUALIFY count(*) OVER (PARTITION BY s) > 1
 """)
 def same_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("langs"))

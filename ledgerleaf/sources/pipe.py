@@ -87,12 +87,13 @@ def join_cells(cells: Column) -> Column:
 
 
 def footer_pairs(text: Column, labels: list[str], last_wins: bool = True) -> Column:
-    """map<label, value> of LABEL: value pairs in a line; of repeated labels the last (or first) stands."""
+    """map<label, value> of LABEL: value pairs in a line, cut at the starts of labels; of repeated labels the last (or first) stands."""
     import re
 
     names = "|".join(re.escape(x) for x in sorted(labels, key=len, reverse=True))
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(rf"(?i)({names})\s*:\s*(.*?)(?=\s*(?:{names})\s*:|$)"), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(rf"(?i)({names})\s*:\s*(.*?)(?=\s*(?:{names})\s*:|$)"), F.lit(2)).alias("v"))
-    pairs = F.transform(found, lambda p: F.struct(F.upper(p["k"]).alias("key"), F.trim(p["v"]).alias("value")))
+    keys = F.regexp_extract_all(text, F.lit(rf"(?i)({names})\s*:"), F.lit(1))
+    values = F.slice(F.split(text, rf"(?i)(?:{names})\s*:"), F.lit(2), F.size(keys))
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(F.upper(k).alias("key"), F.trim(F.regexp_replace(v, r"^\s+|\s+$", "")).alias("value")))
     keep = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)) if last_wins else F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(keep)
 
