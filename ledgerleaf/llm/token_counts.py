@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import CACHES, id_text, map_arrow
 
-PIECE_CHARS = 1 << 14
-BATCH_CHARS = 1 << 19
+PIECE_BYTES = 1 << 14
+GATHERED_BYTES = 1 << 19
 #: A character that no Unicode version calls white space, before one that all do.
 SAFE_CUT = re.compile("[^\\s\x00-\x20\x7f-\xa0\u1680\u180e\u200b\ufeff](?=[ \\t\\n\\r])")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -44,7 +44,7 @@ def _tokenizer(path: str):
 CACHES["token_counts"] = _tokenizer.cache_clear
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
+def pieces(text: str, size: int) -> Iterator[str]:
     """Split at safe boundaries into pieces of about ``size`` characters; their concatenation is the text."""
     at, n = 0, len(text)
     while n - at > size:
@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
             counts, sizes = [0] * len(texts), [0] * len(texts)
             held: list[str] = []
             owner: list[int] = []
-            chars = 0
+            gathered = 0
 
             def flush() -> None:
                 for k, e in zip(owner, tok.encode_batch_fast(held, add_special_tokens=False)):
@@ -74,13 +74,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
             for k, text in enumerate(texts):
                 sizes[k] = len(text.encode())
-                for piece in pieces(text):
+                if gathered + min(sizes[k], PIECE_BYTES) > GATHERED_BYTES:
+                    flush()
+                    held, owner, gathered = [], [], 0
+                if sizes[k] <= PIECE_BYTES:
+                    held.append(text)
+                    owner.append(k)
+                    gathered += sizes[k]
+                    continue
+                for piece in pieces(text, max(1, PIECE_BYTES * len(text) // sizes[k])):  # so many characters of this text take PIECE_BYTES
                     held.append(piece)
                     owner.append(k)
-                    chars += len(piece)
-                    if chars >= BATCH_CHARS:
+                    gathered += len(piece.encode())
+                    if gathered >= GATHERED_BYTES:
                         flush()
-                        held, owner, chars = [], [], 0
+                        held, owner, gathered = [], [], 0
             flush()
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
