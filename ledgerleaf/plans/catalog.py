@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cells, controls, logs, readings, texts  # noqa: F401  each registers its queries
+from . import cells, controls, forms, logs, readings, texts  # noqa: F401  each registers its queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
