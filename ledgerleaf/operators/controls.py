@@ -239,22 +239,37 @@ def closest_values(values: DataFrame, known: DataFrame, cutoff: float = 0.82) ->
 
     Only pairs that can reach the cutoff meet. With s signs in both, m of them matched and s - 2m not, there are at
     most s - 2m + 1 runs of matched signs once both have a mark at either end, so they share 3m - s + 1 pairs of
-    neighbours at least; a ratio of c makes that (1.5c - 1)s + 1, which is one or more for any c over 2/3. At lower
-    cutoffs all values of a column meet.
+    neighbours at least; a ratio of c makes that t = (1.5c - 1)s + 1, which is one or more for any c over 2/3. Two values that
+    share t of their pairs share one among the rarest, all but t - 1 of either; so values meet by an equi-join on rare
+    pairs, and the common ones, which most values hold, join nothing. At lower cutoffs all values of a column meet.
     """
-    def grams(f: DataFrame, name: str) -> DataFrame:
-        f = f.select("col_name", "value", F.upper("value").alias(name)).distinct().withColumn("_m", F.concat(F.lit("\x02"), name, F.lit("\x03")))
-        own = F.transform(F.sequence(F.lit(1), F.length("_m") - 1), lambda i: F.substring(F.col("_m"), i, F.lit(2))) if cutoff > 2 / 3 else F.array(F.lit(""))
-        each = f.where(F.col(name).isNotNull()).select("col_name", "value", name, F.explode(own).alias("_k"))
-        return each.groupBy("col_name", "value", name, "_k").agg(F.count("*").alias(f"_{name}"))
+    some = cutoff > 2 / 3
+
+    def pairs_of(f: DataFrame, name: str) -> DataFrame:
+        """Each value with its pairs of neighbours, those that stand in it again numbered."""
+        f = f.select("col_name", "value", F.upper("value").alias(name)).distinct().where(F.col(name).isNotNull())
+        marked = F.concat(F.lit("\x02"), name, F.lit("\x03"))
+        own = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+        numbered = F.transform(own, lambda g, i: F.concat(g, F.size(F.filter(F.slice(own, F.lit(1), i), lambda h: h == g)).cast("string")))
+        return f.withColumn(f"_{name}", numbered if some else F.array(F.lit("")))
+
+    a, b = pairs_of(values, "own"), pairs_of(known.select("col_name", F.upper("value").alias("value")), "known").drop("value")
+    common = b.select("col_name", F.explode("_known").alias("_k")).groupBy("col_name", "_k").agg(F.count("*").alias("_n"))
+
+    def rarest(f: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        least = F.ceil((1.5 * cutoff - 1) * (n + F.ceil(n * cutoff / (2 - cutoff) - 1e-6)) + 1 - 1e-6) if some else F.lit(1)
+        each = f.select(*f.columns, F.explode(f"_{name}").alias("_k")).join(common, ["col_name", "_k"], "left")
+        w = Window.partitionBy("col_name", *(["value"] if name == "own" else []), name).orderBy(F.coalesce("_n", F.lit(0)), "_k")
+        return each.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= F.size(f"_{name}") - least + 1).drop("_n", "_p")
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([ratio(p, q) for p, q in zip(y, x)])
 
-    a, b = grams(values, "own"), grams(known.select("col_name", F.upper("value").alias("value")), "known").drop("value")
     signs = F.length("own") + F.length("known")
-    met = a.join(b, ["col_name", "_k"]).groupBy("col_name", "value", "own", "known").agg(F.sum(F.least("_own", "_known")).alias("_n"))
-    near = met.where((F.col("_n") >= (1.5 * cutoff - 1) * signs + 1 - 1e-6) & (2 * F.least(F.length("own"), F.length("known")) >= cutoff * signs - 1e-6))
+    lengths = 2 * F.least(F.length("own"), F.length("known")) >= cutoff * signs - 1e-6
+    met = rarest(a, "own").join(rarest(b, "known"), ["col_name", "_k"]).where(lengths).drop("_k").distinct()
+    near = met.where(F.size(F.array_intersect("_own", "_known")) >= (1.5 * cutoff - 1) * signs + 1 - 1e-6) if some else met
     scored = near.withColumn("ratio", alike("own", "known")).where(F.col("ratio") >= cutoff)
     return scored.groupBy("col_name", "value").agg(F.max(F.struct("ratio", "known")).alias("b")).select("col_name", "value", "b.known", "b.ratio")
