@@ -6,7 +6,8 @@ several times likelier in toxic ones, in different surroundings, become entries,
 words among them form a trie. A word of the text is
 looked up as it stands (word or beginning) and else by walking the trie together with the
 Levenshtein automaton of the word, which visits only nodes that can still end within the allowed
-distance: so misspelled terms are caught. Entries whose near words turn up in clean training
+distance: so misspelled terms are caught. Misspellings are sought of every entry that a share of the toxic documents holds;
+entries whose near words turn up in clean training
 documents are not used for near matches.
 
 Each hit is read in its window of the text around it: a hit between an opening and the closing quotation mark, both
@@ -46,6 +47,7 @@ LEAST_GAIN = 11.0  # log-likelihood ratio of a lexicon entry
 LEAST_ODDS = 1.1  # natural logarithm of how many times likelier an entry is in toxic documents
 LONGEST_START = 8
 LEAST_CONTEXTS, AROUND = 3, 16  # different surroundings in toxic documents that an entry needs, so that copies of one document make none, and characters of them on each side
+NEAR_SHARE = 0.02  # of the toxic documents, that an entry needs for its misspellings to be sought
 KNOWN_WORDS = 1 << 17
 KNOWN_STATES = 1 << 15
 WORD = re.compile(r"[^\W\d_]+")
@@ -297,8 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     # of entries that begin alike and say as much, the longest stays
     vague = {b + "*" for t in ranked for k in range(3, len(t.rstrip("*")) + 1) if (b := t[:k].rstrip("*")) + "*" != t and gains[t] >= 0.97 * gains.get(b + "*", math.inf)}
     weights = {t: odds[t] for t in ranked if t not in vague}
-    # misspellings are sought of words that say as much as their own beginnings do
-    whole = [t for t in ranked if t[-1] != "*" and edits(t) and gains[t] >= 0.8 * max([gains.get(t[:k] + "*", 0) for k in range(3, LONGEST_START + 1)])]
+    # misspellings are sought of words that say as much as their own beginnings do and stand in a share of the toxic documents
+    whole = [t for t in ranked if t[-1] != "*" and edits(t) and total[t]["toxic"] >= NEAR_SHARE * n_a and gains[t] >= 0.8 * max([gains.get(t[:k] + "*", 0) for k in range(3, LONGEST_START + 1)])]
     lexicon = Lexicon(weights, whole)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
