@@ -244,13 +244,22 @@ CACHES["toxicity"] = _lexicon.cache_clear
 
 
 def fit_weights(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Logistic weights with a normal prior around PRIOR, by Newton's method; row i of ``x`` stands for n[i] documents, toxic[i] of them toxic."""
+    """Logistic weights with a normal prior around PRIOR, by Newton's method; row i of ``x`` stands for n[i] documents, toxic[i] of them toxic. A step is halved until it lowers the cost enough."""
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(n * np.logaddexp(0, z) - toxic * z) + 0.5 * np.sum(PRIOR_STRENGTH * (w - PRIOR) ** 2))
+
     w = PRIOR.copy()
-    for _ in range(30):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(PRIOR_STRENGTH), x.T @ (toxic - n * p) - PRIOR_STRENGTH * (w - PRIOR))
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        slope = x.T @ (toxic - n * p) - PRIOR_STRENGTH * (w - PRIOR)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(PRIOR_STRENGTH), slope)
+        now, share = cost(w), 1.0
+        while share > 1e-6 and cost(w + share * step) > now - 1e-4 * share * float(slope @ step):
+            share /= 2
+        w = w + share * step
+        if np.abs(share * step).max() < 1e-6:
             break
     return w
 

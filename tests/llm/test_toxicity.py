@@ -93,6 +93,22 @@ def test_quotation_is_told_from_abuse(text, quoted):
     assert (x[5] > 0) == quoted and (x[1] > 0) != quoted
 
 
+def test_the_fit_finds_the_least_cost():
+    """Also where whole steps of Newton's method overshoot: no direction leads further down."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones((400, 1)), rng.gamma(1.0, 2.0, (400, 6))], axis=1)
+    n = rng.integers(1, 60, 400).astype(float)
+    toxic = np.where(x[:, 2] > 4.0, n, 0.0)
+    toxic[:3] = n[:3] / 2
+
+    def cost(w):
+        z = x @ w
+        return np.sum(n * np.logaddexp(0, z) - toxic * z) + 0.5 * np.sum(toxicity.PRIOR_STRENGTH * (w - toxicity.PRIOR) ** 2)
+
+    w = toxicity.fit_weights(x, toxic, n)
+    assert all(cost(w + 1e-3 * d) > cost(w) for d in [*np.eye(7), *-np.eye(7), *rng.normal(size=(50, 7))])
+
+
 def test_every_entry_is_kept():
     """Neither the lexicon nor its misspellings are cut at a number."""
     words = [f"{a}{b}{c}term" for a in "bcdfgh" for b in "aeiou" for c in "klmnpqrstv"]
