@@ -64,7 +64,7 @@ def edits_of(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("array<struct<lost:string,won:string>>")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[{"lost": p[i1:i2], "won": q[j1:j2]} for op, i1, i2, j1, j2 in blocks(p, q) if op != "equal"] for p, q in zip(x, y)])
+        return pd.Series([[] if p == q else [{"lost": p[i1:i2], "won": q[j1:j2]} for op, i1, i2, j1, j2 in blocks(p, q) if op != "equal"] for p, q in zip(x, y)])
 
     return run(a, b)
 
