@@ -38,7 +38,8 @@ from .repeats import Words, pack, unpack, word_values
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-EXPAND = 1 << 21
+EXPAND = 1 << 18  # occurrences that are worked on at once
+SHARD_WORDS = 1 << 20  # words of a shard (a longer document stands alone)
 SPAN = 1 << 40  # beyond any position of a shard
 #: A-Z to a-z; every ASCII byte that is no digit or letter to a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -66,8 +67,8 @@ class Postings:
         self.at = np.concatenate([[0], np.cumsum(counts)])
 
     @classmethod
-    def of(cls, texts: list[str]) -> "Postings":
-        words = [words_of(t) for t in texts]
+    def of(cls, texts: list[str] | list[Words]) -> "Postings":
+        words = [words_of(t) if isinstance(t, str) else t for t in texts]
         n = np.array([len(w) for w in words], np.int64)
         first = np.concatenate([[0], np.cumsum(n + 1)])
         found = np.concatenate([np.zeros(0, np.uint64), *terms_of(words)])
@@ -138,6 +139,16 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def _bounded(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lists of these lengths one after the other, EXPAND entries at a time: numbers of the lists, how many entries of each come before, and how many now."""
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, EXPAND):
+        some = np.arange(np.searchsorted(ends, lo, side="right"), np.searchsorted(begins, lo + EXPAND))
+        skip = np.maximum(lo - begins[some], 0)
+        yield some, skip, np.minimum(counts[some], lo + EXPAND - begins[some]) - skip
+
+
 class Shard:
     """A block of queries over the posting lists of one slice of documents."""
 
@@ -166,12 +177,9 @@ class Shard:
             if not len(rows):
                 continue
             rarest = terms[rows, order[rows, 0]]
-            counts = self.at[rarest + 1] - self.at[rarest]
-            cuts = np.searchsorted(np.cumsum(counts), np.arange(EXPAND, counts.sum() + EXPAND, EXPAND)) + 1
-            for some in np.split(np.arange(len(rows)), np.minimum(cuts, len(rows))):
-                n = counts[some]
+            for some, skip, n in _bounded(self.at[rarest + 1] - self.at[rarest]):
                 row = np.repeat(rows[some], n)
-                start = self.postings[np.repeat(self.at[rarest[some]], n) + _spread(n)] - order[row, 0]
+                start = self.postings[np.repeat(self.at[rarest[some]] + skip, n) + _spread(n)] - order[row, 0]
                 for j in range(1, size):  # what the next list, shifted, holds too
                     offset = order[row, j]
                     ok = self.among(terms[row, offset], start + offset)
@@ -182,23 +190,25 @@ class Shard:
     def match(self) -> list[tuple[int, list[int], list[str]]]:
         """For each text its number of words, the runs of hit words as [start, end, start, end...] and the items found."""
         edge = np.zeros(int(self.first[-1]) + 1, np.int32)
-        pairs = []
+        some, pairs = [], np.zeros(0, np.int64)  # a document and an item each; ``pairs`` once
         for g, row, start in self.phrases():
             size, _, names_at, names = self.q.groups[g]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + size, -1)
-            n = names_at[row + 1] - names_at[row]
-            doc = np.repeat(np.searchsorted(self.first, start, side="right") - 1, n)
-            pairs.append(np.unique(doc * max(1, len(self.q.names)) + names[np.repeat(names_at[row], n) + _spread(n)]))
+            doc, row = np.divmod(np.unique((np.searchsorted(self.first, start, side="right") - 1) * len(names_at) + row), len(names_at))  # once for each document, before all items of a window come in
+            for part, skip, n in _bounded(names_at[row + 1] - names_at[row]):
+                some.append(np.unique(np.repeat(doc[part], n) * len(self.q.names) + names[np.repeat(names_at[row[part]] + skip, n) + _spread(n)]))
+                if sum(map(len, some)) > EXPAND + len(pairs):
+                    some, pairs = [], np.unique(np.concatenate([pairs, *some]))
         n_docs = len(self.first) - 1
         runs: list[list[int]] = [[] for _ in range(n_docs)]
         items: list[list[str]] = [[] for _ in range(n_docs)]
-        if pairs:
+        if edge.any():
             hit = np.cumsum(edge[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
             for (s, e), d in zip(turns.tolist(), (np.searchsorted(self.first, turns[:, 0], side="right") - 1).tolist()):
                 runs[d] += [s - int(self.first[d]), e - int(self.first[d])]
-            for p in np.unique(np.concatenate(pairs)).tolist():
+            for p in np.unique(np.concatenate([pairs, *some])).tolist():
                 items[p // len(self.q.names)].append(self.q.names[p % len(self.q.names)])
         return [(int(n), r, i) for n, r, i in zip(np.diff(self.first) - 1, runs, items)]
 
@@ -231,14 +241,28 @@ def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, lists = Postings.of(batch.column(3).to_pylist()).packed()
-            ids, marks = batch.column(0).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([[m for m, _ in marks]], pa.list_(pa.int64())), pa.array([[n for _, n in marks]], pa.list_(pa.int64())), pa.array([terms], pa.binary()), pa.array([lists], pa.binary())], ["shard", "ids", "marks", "checks", "terms", "lists"])
+            words = [words_of(t) for t in batch.column(3).to_pylist()]
+            for at, end in _shards([len(w) for w in words]):
+                terms, lists = Postings.of(words[at:end]).packed()
+                known = [pa.array([batch.column(k).slice(at, end - at).to_pylist()], pa.list_(pa.int64())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *known, pa.array([terms], pa.binary()), pa.array([lists], pa.binary())], ["shard", "ids", "marks", "checks", "terms", "lists"])
 
     rows = id_text(docs, id_col, text_col).select("doc_id", *marks_of(F.col("text")), "text")
     return table_once(map_arrow(rows, run, "shard string, ids array<long>, marks array<long>, checks array<long>, terms binary, lists binary"))
 
 
+def _shards(n_words: list[int]) -> Iterator[tuple[int, int]]:
+    """Slices of documents that have SHARD_WORDS words at most."""
+    at = total = 0
+    for k, n in enumerate(n_words):
+        if k > at and total + n > SHARD_WORDS:
+            yield at, k
+            at, total = k, 0
+        total += n
+    if n_words:
+        yield at, len(n_words)
+
+
 def marks_of(text: F.Column) -> tuple[F.Column, F.Column]:
     """What a text is known by: two independent hashes, 96 bits and its length together."""
     return F.xxhash64(text).alias("mark"), (F.hash(text).cast("long") * F.lit(1 << 31) + F.octet_length(text)).alias("check")
@@ -306,7 +330,8 @@ def _each(of: Callable[[Shard, dict], pa.RecordBatch]) -> Callable[[Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[bytes, Queries] | None = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(len(batch)):
+                r = batch.slice(k, 1).to_pylist()[0]
                 if known is None or known[0] != r["queries"]:
                     known = (r["queries"], Queries.unpacked(r["queries"]))
                 yield of(Shard(known[1], Postings.unpacked(r["terms"], r["lists"])), r)

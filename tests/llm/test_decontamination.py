@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import pytest
 
@@ -56,6 +57,27 @@ def test_expanding_in_steps_gives_the_same(monkeypatch):
     assert d.Shard(q, texts).match() == whole and whole[2][1] == [1, 11]
 
 
+def test_a_passage_of_many_items_takes_little_memory():
+    passage = " ".join(f"w{k}" for k in range(40))
+    q = d.Queries([(f"i{k:03}", passage) for k in range(200)])
+    q.rank(__import__("numpy").ones(40))
+    shard = d.Shard(q, [(passage + " ") * 30] * 100)
+    tracemalloc.start()
+    got = shard.match()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(n, r, len(i)) for n, r, i in got] == [(1200, [0, 1200], 200)] * 100
+    assert peak < 64 << 20
+
+
+def test_shards_are_bounded_by_words(docs, benchmark, monkeypatch):
+    want = {tuple(r) for r in d.report(d.find_phrases(docs, benchmark)).collect()}
+    assert list(d._shards([])) == [] and list(d._shards([0, 0])) == [(0, 2)]
+    monkeypatch.setattr(d, "SHARD_WORDS", 20)
+    assert list(d._shards([15, 5, 1, 90, 3, 3])) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert {tuple(r) for r in d.report(d.find_phrases(docs, benchmark)).collect()} == want
+
+
 def test_near_matches():
     q = d.Queries([("a", "red green blue")])
     q.rank(__import__("numpy").ones(3))
