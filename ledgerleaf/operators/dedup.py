@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import folded
+
+FEW = 16  # kept points of a group that are looked at one after the other
+
 
 def within_tolerance(rows: DataFrame, group: list[str], order: str, x: str, y: str, tolerance: float) -> DataFrame:
     """Greedy and in order: a row goes if a row kept before it (same group) lies within ``tolerance`` in x and y. Compared with kept rows only, so it is not transitive. The group is a text on a page."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        grid: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = []
-        for a, b in zip(pdf[x], pdf[y]):
-            gx, gy = int(a // max(tolerance, 1e-9)), int(b // max(tolerance, 1e-9))
-            near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in grid.get((gx + i, gy + j), ()))
-            new = not any(abs(a - p) <= tolerance and abs(b - q) <= tolerance for p, q in near)
-            if new:
-                grid.setdefault((gx, gy), []).append((a, b))
-            keep.append(new)
-        return pdf[pd.Series(keep, index=pdf.index)]
-
-    return rows.groupBy(*group).applyInPandas(run, kinds)
+    width = max(tolerance, 1e-9)
+
+    def start() -> Callable[[float, float], int]:
+        kept: list[tuple[float, float]] = []
+        cells: dict[tuple[float, float], list[tuple[float, float]]] = {}
+
+        def keep(a: float, b: float) -> int:
+            if not (math.isfinite(a) and math.isfinite(b)):
+                return 1  # near nothing
+            near: Iterable[tuple[float, float]] = kept
+            if cells:
+                gx, gy = a // width, b // width
+                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((gx + i, gy + j), ()))
+            for p, q in near:
+                if abs(a - p) <= tolerance and abs(b - q) <= tolerance:
+                    return 0
+            kept.append((a, b))
+            if len(kept) > FEW:  # from here on by cells as wide as the tolerance
+                for p, q in kept if not cells else kept[-1:]:
+                    cells.setdefault((p // width, q // width), []).append((p, q))
+            return 1
+
+        return keep
+
+    return folded(rows, group, [order], [x, y], start, "_kept").where("_kept = 1").drop("_kept")
 
 
 def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:

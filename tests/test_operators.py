@@ -282,6 +282,23 @@ def test_tolerance_dedup_is_greedy_and_idempotent(spark):
     assert dedup.within_tolerance(kept, ["g"], "k", "x", "y", 0.1).count() == len(rows)
 
 
+def test_tolerance_dedup_of_many_groups_equals_plain_python(spark):
+    rng = random.Random(3)
+    odd = [None, math.nan, math.inf, -math.inf]
+    rows = [(g, k, rng.choice(odd) if rng.random() < 0.1 else rng.uniform(-9, 9), rng.choice(odd) if rng.random() < 0.1 else rng.uniform(-9, 9)) for g in [None, *range(60)] for k in range(300 if g == 7 else rng.randrange(1, 6))]
+    rng.shuffle(rows)
+    got = dedup.within_tolerance(spark.createDataFrame(rows, "g int, k int, x double, y double"), ["g"], "k", "x", "y", 1.5)
+    want, kept = set(), {}
+    for g, k, x, y in sorted(rows, key=lambda r: r[1]):
+        near = [(p, q) for p, q in kept.setdefault(g, []) if None not in (x, y, p, q) and abs(x - p) <= 1.5 and abs(y - q) <= 1.5]
+        if not near:
+            kept[g].append((x, y))
+            want.add((g, k))
+    assert len(kept[7]) > 2 * dedup.FEW and len(want) < len(rows)
+    assert {(r.g, r.k) for r in got.collect()} == want
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # a call for each group took 267 s for 330,000 of them
+
+
 def test_geometry(spark):
     assert geometry.simplify([(0, 0), (1, 0.01), (2, 0), (3, 5)], 0.1) == [(0, 0), (2, 0), (3, 5)]
     assert geometry.simplify([(0, 0), (10, 0), (5, 0)], 0.5) == [(0, 0), (10, 0), (5, 0)]  # beyond the segment's end
