@@ -43,7 +43,8 @@ def grid_lines(signs: DataFrame, page: list[str], tolerance: float = LINE_TOLERA
     real gap. So k(i) = max(wanted(i), k(i-1) + step(i)), which is a running sum of steps plus a running maximum of
     what is wanted less those sums.
     """
-    words = words_of_signs(signs, page).join(pitch(signs, page), page).withColumn("x0", F.min("x").over(Window.partitionBy(*page)))
+    pitches = pitch(signs, page).hint("merge")  # a row for each page, which grows with the input: never sent through the driver, however small the files look
+    words = words_of_signs(signs, page).join(pitches, page).withColumn("x0", F.min("x").over(Window.partitionBy(*page)))
     words = words.dropDuplicates([*page, "x", "y", "last_x", "text"])  # printed twice at one place
     lines = layout.lines_by_anchor(words, page, "y", tolerance, "x")
     w = Window.partitionBy(*page, "line").orderBy("x", "last_x", "text")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
-from .running import running_total
+from .running import folded, running_total
 
 # Blank rows are added above this many heights of gap, at most three; rows of a sheet page and of its footer.
 BLANK_FROM = 1.6
@@ -24,20 +26,20 @@ def lines_by_gap(words: DataFrame, group: list[str], y: str, tolerance: float, t
 
 
 def _fold_lines(words: DataFrame, group: list[str], y: str, tolerance: float, tie: str, mean: bool) -> DataFrame:
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields)
+    def start() -> Callable[[float], int]:
+        line, ref = -1, None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, tie])
-        out, line, ref = [], -1, None
-        for v in pdf[y]:
+        def step(v: float) -> int:
+            nonlocal line, ref
             if ref is None or abs(v - ref) > tolerance:
                 line, ref = line + 1, v
             elif mean:
                 ref = (ref + v) / 2
-            out.append(line)
-        return pdf.assign(line=pd.Series(out, index=pdf.index, dtype="int32"))
+            return line
+
+        return step
 
-    return words.groupBy(*group).applyInPandas(run, kinds + ", line int")
+    return folded(words, group, [y, tie], [y], start, "line")
 
 
 def lines_by_anchor(words: DataFrame, group: list[str], y: str, tolerance: float, tie: str) -> DataFrame:

@@ -41,6 +41,14 @@ def test_grid_lines(spark):
     assert lines(spark, [(1, 0, 0, 0, "AB CD"), (1, 1, 0, 0, "AB CD")]) == ["AB CD"]
 
 
+def test_grid_lines_send_no_table_of_pages_through_the_driver(spark):
+    spans = [(p, n, 7 * n, 20 * n, f"P{p} S{n}") for p in range(40) for n in range(3)]
+    got = grid.grid_lines(signs(spark, spans), ["p"])
+    assert {(r.p, r.line, r.text) for r in got.collect()} == {(p, n, " " * round(7 * n / 5) + f"P{p} S{n}") for p in range(40) for n in range(3)}
+    plan = got._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_rows_of_grid(spark):
     text = [(1, "title"), (2, "NO      FROM      TO"), (3, "  1       A  b      C"), (4, "  22      D"), (5, "NORTH"), (6, "          E       F"), (7, "PAGE: 3"), (8, "9 9 9")]
     framed = [(1, "| NO | TO |"), (2, "|----|----|"), (3, "| 1 |  x |"), (4, "| a | b | c |"), (5, "|   |   |")]
